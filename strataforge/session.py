@@ -23,6 +23,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**settings, **RUNTIME_CONF, **conf}.items():
