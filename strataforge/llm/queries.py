@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import canon, rankfusion, spans, split
+from strataforge.llm import canon, mixing, neardup, packing, rankfusion, spans, split
 from strataforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,62 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is shared with another."""
     return spans.coverage(table(spark, sf_dir, "documents"))
+
+
+# Problem 7
+
+
+def _prose_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose(spark, sf_dir).select(F.col("chunk_id").alias("record_id"), F.col("content").alias("text"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of prose chunks with a similarity of 0.5 or more."""
+    pairs = neardup.similar_pairs(_prose_texts(spark, sf_dir))
+    return pairs.select(F.col("record_id_a").alias("chunk_id_a"), F.col("record_id_b").alias("chunk_id_b"))
+
+
+@query
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prose chunk with enough words, its group, class and number of links."""
+    return neardup.groups(_prose_texts(spark, sf_dir))
+
+
+# Problem 8
+
+
+def _capacity(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "size_limits").where("item_kind = 'container'").agg(F.max("max_size")).first()[0]
+
+
+@query
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document or piece of one with its container."""
+    return packing.containers(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and fill of the containers."""
+    packed = packing.containers(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+    filled = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"))
+    capacity = _capacity(spark, sf_dir)
+    return filled.agg(F.count("*").alias("containers"), F.sum("segments").alias("segments"), F.max("tokens").alias("fullest"), F.round(F.avg("tokens") / capacity, 6).alias("mean_fill"))
+
+
+# Problem 9
+
+
+@query
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture in order of (slot, place)."""
+    weights = table(spark, sf_dir, "source_weights")
+    return mixing.mixture(mixing.sized_documents(table(spark, sf_dir, "documents"), weights), weights)
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    weights = table(spark, sf_dir, "source_weights")
+    return mixing.report(mixing.mixture(mixing.sized_documents(table(spark, sf_dir, "documents"), weights), weights), weights)
