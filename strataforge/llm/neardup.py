@@ -6,9 +6,14 @@ distance at similarity s is 128 * (1 - s). A BK-tree (children keyed by the inte
 their parent; a search follows only the edges within the radius) finds the members of a shard within the radius.
 
 One tree of a whole corpus cannot be broadcast, and at a similarity of 0.5 the radius (64 plus 5.5 standard
-deviations) leaves few edges out, so the shards are cut first: two sets with similarity 0.5 share a triple among the rarest half of each
-(prefix filter), and each such triple is a shard with trees of its own, sent to a task by its hash. What the trees find is
-verified by the exact similarity.
+deviations) leaves few edges out, so the shards are cut first: texts that similar have runs of words in common, and each run of
+``RUN`` words is a shard with trees of its own, sent to a task by its hash. What the trees find is verified by the exact
+similarity.
+
+Why a run is always shared: let n be the triples of the larger text. A similarity of t leaves at least 2tn / (1 + t) triples
+common, and every edit of words breaks at least two neighbouring triples, so the common ones lie in at most (1 - t)n / 2(1 + t) + 1
+stretches, each of which has three runs of six words less than triples. That makes at least (5t / (1 + t) - 1.5)n - 3 common runs, one of which is among
+the rarest of each text when that number less one of its most frequent runs is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from strataforge.session import written
 THRESHOLD = 0.5
 LEAST_WORDS = 12
 BITS = 256
+#: Words of a run.
+RUN = 6
 #: Cells of the frequency sketch; its broadcast has one byte per cell, whatever the corpus.
 CELLS = 1 << 22
 _WORD = re.compile(r"[^\W_]+")
@@ -54,14 +61,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def triple_sets(texts: list[str], least_words: int = LEAST_WORDS, size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, starts, hashes): the sorted distinct shingles of each text with enough words."""
+def word_arrays(texts: list[str], least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, starts, word hashes) of the texts with enough words."""
     known: dict[str, int] = {}
     flat: list[int] = []
-    index, counts = [], []
+    index, counts = [], [0]
     for i, text in enumerate(texts):
         words = words_of(text)
-        if len(words) < max(least_words, size):
+        if len(words) < max(least_words, RUN):
             continue
         for word in words:
             h = known.get(word)
@@ -70,23 +77,30 @@ def triple_sets(texts: list[str], least_words: int = LEAST_WORDS, size: int = 3)
             flat.append(h)
         index.append(i)
         counts.append(len(words))
-    if not index:
-        return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint64)
-    words_ = np.array(flat, np.uint64)
-    value = words_[: len(words_) - size + 1].copy()
+    return np.array(index, np.int64), np.cumsum(counts), np.array(flat, np.uint64)
+
+
+def shingle_sets(starts: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes): the sorted distinct shingles of each stretch of words; every stretch has at least ``size``."""
+    if len(words) < size:
+        return np.zeros(len(starts), np.int64), np.empty(0, np.uint64)
+    value = words[: len(words) - size + 1].copy()
     for k in range(1, size):
-        value = _mix(value * _A + words_[k : len(words_) - size + 1 + k] * _B)
-    owner = np.repeat(np.arange(len(index)), counts)
-    ends = np.cumsum(counts)
-    inside = np.arange(len(value)) + size <= ends[owner[: len(value)]]
-    value, owner = value[inside], owner[: len(inside)][inside]
+        value = _mix(value * _A + words[k : len(words) - size + 1 + k] * _B)
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(value)]
+    inside = np.arange(len(value)) + size <= starts[1:][owner]
+    value, owner = value[inside], owner[inside]
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     value, owner = value[fresh], owner[fresh]
-    starts = np.searchsorted(owner, np.arange(len(index) + 1))
-    return np.array(index), starts, value
+    return np.searchsorted(owner, np.arange(len(starts))), value
+
+
+def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, word hashes) of packed word sequences."""
+    return np.cumsum([0, *(len(b) // 8 for b in blobs)]), np.frombuffer(b"".join(blobs), np.uint64)
 
 
 def sketches(starts: np.ndarray, values: np.ndarray, bits: int = BITS) -> list[bytes]:
@@ -99,7 +113,7 @@ def sketches(starts: np.ndarray, values: np.ndarray, bits: int = BITS) -> list[b
 
 
 def features(records: DataFrame, least_words: int = LEAST_WORDS, size: int = 3) -> DataFrame:
-    """(record_id, text) to (record_id, sig, n, triples, sketch); sig names the set of shingles.
+    """(record_id, text) to (record_id, sig, n, words, sketch); sig names the set of n distinct shingles.
 
     Null ids and texts and texts with fewer words than ``least_words`` are left out.
     """
@@ -108,20 +122,21 @@ def features(records: DataFrame, least_words: int = LEAST_WORDS, size: int = 3)
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 batch = whole.slice(at, 2000)
-                index, starts, values = triple_sets(batch.column(1).to_pylist(), least_words, size)
+                index, limits, words = word_arrays(batch.column(1).to_pylist(), least_words)
                 if not len(index):
                     continue
-                sets = [values[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                sig = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
-                arrays = [batch.column(0).take(pa.array(index)), pa.array(sig), pa.array(np.diff(starts), pa.int32()), pa.array(sets, pa.binary()), pa.array(sketches(starts, values), pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["record_id", "sig", "n", "triples", "sketch"])
+                starts, values = shingle_sets(limits, words, size)
+                sig = np.array([xxhash.xxh3_64_intdigest(values[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)], np.uint64).view(np.int64)
+                packed = [words[a:b].tobytes() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+                arrays = [batch.column(0).take(pa.array(index)), pa.array(sig), pa.array(np.diff(starts), pa.int32()), pa.array(packed, pa.binary()), pa.array(sketches(starts, values), pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["record_id", "sig", "n", "words", "sketch"])
 
     source = records.select(F.col("record_id").cast("string"), F.col("text").cast("string")).where("record_id is not null and length(text) > 0")
-    return source.mapInArrow(run, "record_id string, sig bigint, n int, triples binary, sketch binary")
+    return source.mapInArrow(run, "record_id string, sig bigint, n int, words binary, sketch binary")
 
 
 def frequency_sketch(feats: DataFrame) -> np.ndarray:
-    """Counts of all shingles by hash cell, as one byte each on a log scale: ``CELLS`` bytes for any corpus.
+    """Counts of all runs by hash cell, as one byte each on a log scale: ``CELLS`` bytes for any corpus.
 
     Each task adds its rows up before one small binary row per task is merged by range of cells.
     """
@@ -131,8 +146,9 @@ def frequency_sketch(feats: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int32)
         for batch in batches:
-            for blob in batch.column(0):
-                np.add.at(cells, np.frombuffer(blob.as_buffer(), np.uint64) >> np.uint64(64 - 22), 1)
+            for at in range(0, len(batch), 2000):
+                _, runs = shingle_sets(*unpack(batch.column(0).slice(at, 2000).to_pylist()), RUN)
+                cells += np.bincount((runs >> np.uint64(64 - 22)).astype(np.int64), minlength=CELLS).astype(np.int32)
         if cells.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges), pa.int32()), pa.array([cells[i * width : (i + 1) * width].tobytes() for i in range(ranges)], pa.binary())], ["part", "cells"])
 
@@ -147,21 +163,24 @@ def frequency_sketch(feats: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([logs.tobytes()], pa.binary())], ["part", "cells"])
 
     out = np.zeros(CELLS, np.uint8)
-    merged = feats.select("triples").mapInArrow(count, "part int, cells binary").repartition(8, "part").mapInArrow(merge, "part int, cells binary")
+    merged = feats.select("words").mapInArrow(count, "part int, cells binary").repartition(8, "part").mapInArrow(merge, "part int, cells binary")
     for part, blob in merged.collect():  # CELLS bytes in all
         out[part * width : (part + 1) * width] = np.frombuffer(bytes(blob), np.uint8)
     return out
 
 
-ROW = np.dtype([("t", np.uint32), ("s", np.int64)])
+ROW = np.dtype([("t", np.uint32), ("s", np.int64), ("n", np.uint16)])
 
 
 def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int) -> DataFrame:
-    """(shard, sig): members of every shard with two classes or more; a shard is a shingle of their prefixes.
+    """(shard, sig, m): members of every shard of m >= 2 classes; a shard is a run of words.
 
-    The prefix holds the n - ceil(threshold * n) + 1 rarest shingles by (estimated count, hash), an order common to
-    all sets, so two sets of that similarity always share one.
+    A member whose size fits no other of its shard is left out, since no pair of it can reach the threshold.
+
+    Of each text the most frequent runs by (estimated count, hash), an order common to all, are left out, as many as the
+    threshold lets be without losing a pair (see above).
     """
+    spare = 5 * threshold / (1 + threshold) - 1.5
     spark = feats.sparkSession
     shared = spark.sparkContext.broadcast(frequency)
 
@@ -173,10 +192,11 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
         def flush() -> pa.RecordBatch:
             value = np.concatenate([h[0] for h in hold])
             sig = np.concatenate([h[1] for h in hold])
+            size = np.concatenate([h[2] for h in hold])
             hold.clear()
             part = value % np.uint64(parts)
             rows = np.empty(len(value), ROW)
-            rows["t"], rows["s"] = value >> np.uint64(32), sig
+            rows["t"], rows["s"], rows["n"] = value >> np.uint64(32), sig, size
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(1, parts))
             blobs = [np.unique(b).tobytes() for b in np.split(rows[order], cuts)]
@@ -184,19 +204,16 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
             return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blobs[i] for i in keep], pa.binary())], ["part", "rows"])
 
         for batch in batches:
-            sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in batch.column(1)]
-            sigs = batch.column(0).to_numpy()
-            for first in range(0, len(sets), 2000):
-                group = sets[first : first + 2000]
-                values = np.concatenate(group)
-                sizes = np.array([len(g) for g in group])
-                owner = np.repeat(np.arange(len(group)), sizes)
+            sigs, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first in range(0, len(batch), 2000):
+                starts, values = shingle_sets(*unpack(batch.column(2).slice(first, 2000).to_pylist()), RUN)
+                sizes = np.diff(starts)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((values, order_of[values >> np.uint64(64 - 22)], owner))
-                begin = np.cumsum(sizes) - sizes
-                need = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-                rank = np.arange(len(values)) - begin[owner]
-                kept = order[rank < need[owner]]
-                hold.append((values[kept], sigs[first + owner[kept]]))
+                common = np.ceil(spare * counts[first : first + 2000] - 3).astype(np.int64)
+                rank = np.arange(len(values)) - starts[:-1][owner]
+                kept = order[rank < (sizes - np.maximum(common - 1, 0))[owner]]
+                hold.append((values[kept], sigs[first + owner[kept]], np.minimum(counts[first + owner[kept]], 65535).astype(np.uint16)))
                 held += len(kept)
                 if held > 1_000_000:
                     yield flush()
@@ -211,22 +228,27 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
                 blobs.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), ROW))
         for part in sorted(blobs):
             rows = np.concatenate(blobs.pop(part))
-            order = np.lexsort((rows["s"], rows["t"]))
+            order = np.lexsort((rows["s"], rows["n"], rows["t"]))
             rows = rows[order]
             fresh = np.ones(len(rows), bool)
             fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1])
             rows = rows[fresh]
-            same = rows["t"][1:] == rows["t"][:-1]
-            many = np.zeros(len(rows), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            rows = rows[many]
+            for _ in range(2):  # by size within a shard, a member needs a neighbour that is near enough in size
+                size = rows["n"].astype(float)
+                near = (rows["t"][1:] == rows["t"][:-1]) & ((size[:-1] >= threshold * size[1:] - 1e-9) | (size[1:] == 65535))
+                many = np.zeros(len(rows), bool)
+                many[1:] |= near
+                many[:-1] |= near
+                rows = rows[many]
+            _, which, m = np.unique(rows["t"], return_inverse=True, return_counts=True)
+            m = m[which.reshape(-1)].astype(np.int32)
             shard = rows["t"].astype(np.int64) * parts + part
             for at in range(0, len(rows), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + (1 << 16)]), pa.array(rows["s"][at : at + (1 << 16)])], ["shard", "sig"])
+                cut = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(rows["s"][cut]), pa.array(m[cut])], ["shard", "sig", "m"])
 
-    packed = feats.select("sig", "triples").mapInArrow(pack, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(meet, "shard bigint, sig bigint")
+    packed = feats.select("sig", "n", "words").mapInArrow(pack, "part int, rows binary")
+    return packed.repartition(parts, "part").mapInArrow(meet, "shard bigint, sig bigint, m int")
 
 
 class BKTree:
@@ -266,13 +288,12 @@ class BKTree:
 
 
 def tree_pairs(members: DataFrame, reach: int, threshold: float) -> DataFrame:
-    """(shard, sig, n, sketch) to distinct (sig_a, sig_b) within the radius.
+    """(shard, sig, m, n, sketch) to distinct (sig_a, sig_b) within the radius.
 
     A shard of more than ``BLOCK`` members is cut into blocks with a tree each, which the other blocks query; a
     task sees two blocks at a time.
     """
-    sizes = members.groupBy("shard").agg(F.count("*").alias("m"))
-    base = members.join(sizes, "shard").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    base = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = base.select("shard", "sig", "n", "sketch", "block", other)
     keyed = spread.select("shard", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sig", "n", "sketch")
@@ -320,22 +341,24 @@ def tree_pairs(members: DataFrame, reach: int, threshold: float) -> DataFrame:
 def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
     """(sig_a, sig_b, similarity) of the pairs whose exact similarity reaches the threshold."""
     involved = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    sets = feats.select("sig", "triples").join(involved, "sig", "left_semi").groupBy("sig").agg(F.first("triples").alias("triples"))
-    joined = pairs.join(sets.select(F.col("sig").alias("sig_a"), F.col("triples").alias("ta")), "sig_a").join(sets.select(F.col("sig").alias("sig_b"), F.col("triples").alias("tb")), "sig_b")
+    sets = feats.select("sig", "words").join(involved, "sig", "left_semi").groupBy("sig").agg(F.first("words").alias("words"))
+    joined = pairs.join(sets.select(F.col("sig").alias("sig_a"), F.col("words").alias("wa")), "sig_a").join(sets.select(F.col("sig").alias("sig_b"), F.col("words").alias("wb")), "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similarity = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                joint = np.concatenate([x, y])
-                joint.sort()
-                common = int((joint[1:] == joint[:-1]).sum())
-                similarity.append(common / (len(x) + len(y) - common))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, pa.float64())], ["sig_a", "sig_b", "similarity"])
-            yield out.filter(pa.array([s >= threshold for s in similarity], pa.bool_()))
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                (start_a, a), (start_b, b) = (shingle_sets(*unpack(batch.column(k).to_pylist()), 3) for k in (2, 3))
+                similarity = []
+                for i in range(len(batch)):
+                    joint = np.concatenate([a[start_a[i] : start_a[i + 1]], b[start_b[i] : start_b[i + 1]]])
+                    joint.sort()
+                    common = int((joint[1:] == joint[:-1]).sum())
+                    similarity.append(common / (len(joint) - common))
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, pa.float64())], ["sig_a", "sig_b", "similarity"])
+                yield out.filter(pa.array([s >= threshold for s in similarity], pa.bool_()))
 
-    return joined.select("sig_a", "sig_b", "ta", "tb").mapInArrow(run, "sig_a bigint, sig_b bigint, similarity double")
+    return joined.select("sig_a", "sig_b", "wa", "wb").mapInArrow(run, "sig_a bigint, sig_b bigint, similarity double")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -348,7 +371,7 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, least_word
     feats = written(features(records, least_words), "features")
     members = written(shards(feats, frequency_sketch(feats), threshold, _parts(records.sparkSession)), "shards")
     small = feats.select("sig", "n", "sketch").distinct()
-    found = written(tree_pairs(members.join(small, "sig").select("shard", "sig", "n", "sketch"), radius(threshold), threshold), "bk")
+    found = written(tree_pairs(members.join(small, "sig").select("shard", "sig", "m", "n", "sketch"), radius(threshold), threshold), "bk")
     return feats.select("record_id", "sig", "n").distinct(), written(verified(found, feats, threshold), "links")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import canon, mixing, neardup, packing, rankfusion, spans, split
+from strataforge.llm import canon, markup, mixing, neardup, packing, rankfusion, spans, split
 from strataforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,23 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each listed source."""
     weights = table(spark, sf_dir, "source_weights")
     return mixing.report(mixing.mixture(mixing.sized_documents(table(spark, sf_dir, "documents"), weights), weights), weights)
+
+
+# Problem 5
+
+
+def markup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "raw_articles").select(F.lit("article").alias("record_kind"), F.col("source_uri").alias("record_id"), F.col("content").alias("text"))
+    return articles.unionByName(text_records(spark, sf_dir))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with markup, one row per kind present."""
+    return markup.found(markup_records(spark, sf_dir))
+
+
+@query
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as clean text."""
+    return markup.convert(markup_records(spark, sf_dir)).withColumn("markup", F.array_join("markup", ","))
