@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import canon, markup, mixing, neardup, packing, rankfusion, spans, split
-from strataforge.session import table
+from strataforge.llm import canon, handwritten, markup, mixing, neardup, packing, parsecheck, rankfusion, spans, split
+from strataforge.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,3 +188,71 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record as clean text."""
     return markup.convert(markup_records(spark, sf_dir)).withColumn("markup", F.array_join("markup", ","))
+
+
+# Problem 4
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsecheck.verdicts(parsecheck.newest(table(spark, sf_dir, "code_files")))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not valid in their language."""
+    return _verdicts(spark, sf_dir).where("not valid").select("file_id")
+
+
+@query
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its verdict and first cause."""
+    return parsecheck.report(_verdicts(spark, sf_dir))
+
+
+@query
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of invalid files per repository and language."""
+    return parsecheck.rates(_verdicts(spark, sf_dir))
+
+
+@query
+def p4_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted files per language."""
+    return parsecheck.acceptance(_verdicts(spark, sf_dir))
+
+
+@query
+def p4_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older parser's results beside the verdicts."""
+    return parsecheck.against_inspections(_verdicts(spark, sf_dir), table(spark, sf_dir, "file_inspections"))
+
+
+# Problem 2
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written(parsecheck.newest(table(spark, sf_dir, "code_files")), "files")
+    return handwritten.classify(files, table(spark, sf_dir, "repositories"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand in their repository."""
+    return _classified(spark, sf_dir).where("not handwritten").select("file_id")
+
+
+@query
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with the forest's vote and the library it copies."""
+    return _classified(spark, sf_dir)
+
+
+@query
+def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code chunks whose file is not hand-written, by the document_id that names file and content."""
+    files = parsecheck.newest(table(spark, sf_dir, "code_files"))
+    code = table(spark, sf_dir, "code_files").where("file_id is not null").groupBy("file_id").agg(F.max("content_hash").alias("content_hash"))
+    named = files.join(code, "file_id").select("file_id", F.sha2(F.concat(F.col("relative_path"), F.expr("char(0)"), F.col("content_hash")), 256).alias("document_id"))
+    bad = p2_found(spark, sf_dir).join(named, "file_id").select("document_id").distinct()
+    chunks = table(spark, sf_dir, "chunks").where(F.col("source_type").isin("github", "code"))
+    return chunks.join(bad, "document_id", "left_semi").select("chunk_id", "document_id").distinct()
