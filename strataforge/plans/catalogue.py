@@ -2,10 +2,720 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataforge.functions import ids, text
+from strataforge.operators import blocks, canonical, chunking, code, dense, eligibility, evaluation, fusion, goldmap, lexical, pipeline
+from strataforge.operators import catalogue as shelves
+from strataforge.session import shared_dir, table, tune
+from strataforge.sources import discovery, urls
+from strataforge.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL if there is one."""
+
+    def register(function: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(tune(spark), sf_dir)
+
+        QUERIES[function.__name__] = run
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+# SQL fragments
+
+
+def _tokens(expression: str) -> str:
+    parts = f"string_split_regex(m, '{text.SEPARATORS}')"
+    camel = f"flatten(list_transform({parts}, lambda s: string_split(regexp_replace(s, '{text.CAMEL}', '\\1' || chr(1) || '\\2', 'g'), chr(1))))"
+    return f"list_distinct(list_transform(flatten(list_transform(regexp_extract_all({expression}, '{text.TOKEN}'), lambda m: list_concat([m], {parts}, {camel}))), lambda x: lower(x)))"
+
+
+_PLACE = ["source_uri", "repository", "branch", "commit_sha", "path", "section", "symbol"]
+_INDEXED = (
+    "concat_ws(' ', content, source_uri, project, \"timestamp\", language, content_role, structural_type, parent_structure, location, array_to_string(map_keys(metadata), ' '), array_to_string(map_values(metadata), ' '), "
+    + ", ".join(f"provenance.{p}" for p in _PLACE)
+    + ", array_to_string(map_keys(provenance.extra), ' '), array_to_string(map_values(provenance.extra), ' '))"
+)
+_DOCS = f"docs AS (SELECT chunk_id, {_tokens('t')} AS tokens FROM (SELECT chunk_id, max({_INDEXED}) AS t FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1))"
+_INDEX = f"""{_DOCS},
+postings AS (SELECT chunk_id, len(tokens) AS length, unnest(tokens) AS term FROM docs),
+freq AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM docs),
+terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({_tokens('question')}) AS term FROM questions WHERE query_id IS NOT NULL)),
+weights AS (SELECT query_id, term, ln((n + 1.0) / df) AS idf, avgdl FROM terms JOIN freq USING (term), stats)"""
+_SCORES = f"""{_INDEX},
+parts AS (SELECT query_id, chunk_id, sum(idf * 2.5 / (1.5 * (0.25 + 0.75 * length / avgdl) + 1)) AS part FROM postings JOIN weights USING (term) GROUP BY 1, 2),
+scored AS (SELECT p.query_id, chunk_id, round(part + d, 9) AS score FROM parts p JOIN (SELECT query_id, sum(idf) AS d FROM weights GROUP BY 1) w ON p.query_id = w.query_id)"""
+_LISTS = "lists AS (SELECT query_id, channel, chunk_id, max(score) AS score, min(rank) AS rank FROM ranked_chunks WHERE rank IS NOT NULL GROUP BY 1, 2, 3)"
+_FUSED = "fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists WHERE channel IN ('dense', 'bm25') AND rank <= 20 GROUP BY 1, 2)"
+_RRF = "rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused)"
+_GOLD = "gold AS (SELECT query_id, chunk_id, max(4 - rank) AS grade FROM ranked_chunks WHERE channel = 'rerank' AND rank BETWEEN 1 AND 3 GROUP BY 1, 2)"
+_MEASURED = f"""{_LISTS}, {_GOLD},
+judged AS (SELECT l.query_id, rank, grade FROM lists l JOIN gold g ON l.query_id = g.query_id AND l.chunk_id = g.chunk_id WHERE channel = 'dense'),
+sums AS (SELECT query_id, min(rank) FILTER (grade >= 2) AS f, sum(CASE WHEN rank <= 5 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM judged GROUP BY 1),
+ideal AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(place + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS place FROM gold) WHERE place <= 5 GROUP BY 1),
+measured AS (SELECT q.query_id, category, answerable, {', '.join(f'CASE WHEN f <= {c} THEN 1.0 ELSE 0.0 END AS hit_{c}' for c in (1, 5, 10, 20))}, round(coalesce(1.0 / f, 0.0), 9) AS mrr,
+ round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0.0 END, 9) AS ndcg_5 FROM questions q LEFT JOIN sums s ON q.query_id = s.query_id LEFT JOIN ideal i ON q.query_id = i.query_id)"""
+_METRICS = ["hit_1", "hit_5", "hit_10", "hit_20", "mrr", "ndcg_5"]
+_COLLAPSE = r"trim(regexp_replace({0}, '[\s\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1680}}\x{{2028}}\x{{2029}}\x{{85}}\x{{b}}]+', ' ', 'g'))"
+
+
+def _form(expression: str) -> str:
+    return f"coalesce(lower({_COLLAPSE.format(expression)}), '')"
+
+
+# Shared inputs
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with one row per id: the last delivery."""
+    return shelves.latest(table(spark, sf_dir, "chunks"), "chunk_id", "ingested_at")
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked lists with one row per (query, channel, chunk)."""
+    rows = table(spark, sf_dir, "ranked_chunks").where("rank is not null")
+    return rows.groupBy("query_id", "channel", "chunk_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+
+
+def _channel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _lists(spark, sf_dir).where(F.col("channel") == name)
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded evidence: the first three of the channel ``rerank``, graded 3, 2, 1."""
+    rows = table(spark, sf_dir, "ranked_chunks").where("channel = 'rerank' and rank between 1 and 3")
+    return rows.select("query_id", "chunk_id", (4 - F.col("rank")).alias("grade"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "questions")
+
+
+# Lexical index and search
+
+
+@query(f"WITH {_DOCS} SELECT count(*) AS docs, CAST(sum(len(tokens)) AS BIGINT) AS tokens, round(avg(len(tokens)), 9) AS avgdl, max(len(tokens)) AS longest FROM docs")
+def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lexical.lengths(table(spark, sf_dir, "chunks"))
+    return docs.agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 9).alias("avgdl"), F.max("length").cast("bigint").alias("longest"))
+
+
+@query(f"WITH {_INDEX} SELECT term, df FROM freq")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.build_index(table(spark, sf_dir, "chunks")).frequency
+
+
+@query(f"WITH {_INDEX} SELECT query_id, round(sum(idf), 9) AS delta FROM weights GROUP BY 1")
+def query_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.deltas(lexical.build_index(table(spark, sf_dir, "chunks")), lexical.query_terms(_questions(spark, sf_dir)))
+
+
+@query(f"WITH {_SCORES} SELECT query_id, chunk_id, round(score, 6) AS score FROM scored")
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lexical.scores(lexical.build_index(table(spark, sf_dir, "chunks")), _questions(spark, sf_dir))
+    return scored.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "chunks")), _questions(spark, sf_dir), k)
+
+
+@query(f"WITH {_SCORES}, {_TOP} SELECT query_id, 'bm25' AS channel, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM top WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(DISTINCT chunk_id) AS candidates, count(*) AS pairs FROM (WITH " + _SCORES + " SELECT * FROM scored)")
+def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lexical.scores(lexical.build_index(table(spark, sf_dir, "chunks")), _questions(spark, sf_dir))
+    return scored.agg(F.countDistinct("chunk_id").alias("candidates"), F.count("*").alias("pairs"))
+
+
+# Vectors
+
+
+@query("""WITH q AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS chunk_id, round(list_cosine_similarity(a, CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+SELECT query_id, 'dense' AS channel, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM t WHERE rank <= 20""")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense.search(vectors, queries, 20, "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) GROUP BY 1, 2),
+k AS (SELECT label, list(m ORDER BY i) AS centre FROM c GROUP BY 1)
+SELECT vec_id, round(list_cosine_similarity(e, centre), 6) AS similarity FROM v JOIN k USING (label)""")
+def cosine_to_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
+    return vectors.join(centres, "label").select("vec_id", F.round(dense.cosine(F.col("embedding"), F.col("centre")), 6).alias("similarity"))
+
+
+@query("SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most FROM embeddings")
+def vector_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dense.checked(table(spark, sf_dir, "embeddings"), 64)
+    return rows.agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("bigint").alias("least"), F.max(F.size("embedding")).cast("bigint").alias("most"))
+
+
+# Fusion
+
+
+@query(f"""WITH {_LISTS}, s AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2)
+SELECT query_id, 'rrf' AS channel, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s""")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse(_lists(spark, sf_dir))
+
+
+@query(f"""WITH {_LISTS}, s AS (SELECT CAST(k AS INT) AS k, query_id, chunk_id, round(sum(1.0 / (k + rank)), 9) AS score FROM lists, (SELECT unnest([10, 20, 40, 60, 100, 200]) AS k) GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY k, query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT k, query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM t WHERE rank <= 20""")
+def rrf_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.sweep(_lists(spark, sf_dir), [10, 20, 40, 60, 100, 200], 20)
+
+
+@query("SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranked_chunks WHERE rank IS NOT NULL GROUP BY 1, 2")
+def rrf_dup_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-delivered rows are duplicates within a list: each counts."""
+    return fusion.fuse(table(spark, sf_dir, "ranked_chunks")).select("query_id", "chunk_id", "score")
+
+
+@query(f"""WITH {_SCORES}, {_TOP}, {_LISTS.replace('lists AS', 'lists0 AS')},
+lists AS (SELECT query_id, chunk_id, rank FROM lists0 WHERE channel = 'dense' AND rank <= 20 UNION ALL SELECT query_id, chunk_id, rank FROM top WHERE rank <= 20),
+s AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM lists GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+SELECT query_id, 'rrf' AS channel, chunk_id, score, CAST(rank AS INT) AS rank FROM t WHERE rank <= 20""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25+ over the chunks fused with the delivered dense lists."""
+    return fusion.hybrid(_channel(spark, sf_dir, "dense"), _bm25(spark, sf_dir, 20), 20, 20)
+
+
+_OVERLAP_CONTENT = "contents AS (SELECT chunk_id, max(content) AS content FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1)"
+
+
+@query(f"""WITH {_LISTS}, {_OVERLAP_CONTENT}, j AS (SELECT l.query_id, l.chunk_id, rank AS previous, {_tokens('question')} AS a, {_tokens('content')} AS b FROM lists l JOIN questions q ON l.query_id = q.query_id JOIN contents c ON l.chunk_id = c.chunk_id WHERE channel = 'dense'),
+s AS (SELECT query_id, chunk_id, previous, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS score FROM j),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, previous, chunk_id) AS rank FROM s)
+SELECT query_id, 'reranker' AS channel, chunk_id, score, CAST(rank AS INT) AS rank FROM t WHERE rank <= 5""")
+def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.rerank(_channel(spark, sf_dir, "dense"), _questions(spark, sf_dir), table(spark, sf_dir, "chunks"), 5)
+
+
+# Eligibility
+
+_LEGAL = " + ".join(f"CAST(regexp_matches(flat, '{p}') AS INT)" for p in eligibility.LEGAL_PATTERNS)
+_LAST = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) AS nr FROM chunks WHERE chunk_id IS NOT NULL) WHERE nr = 1)"
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_POLICY = f"CASE WHEN {{0}} IN ({_quoted(eligibility.ELIGIBLE_ROLES)}) THEN 'eligible' WHEN {{0}} IN ({_quoted(eligibility.INELIGIBLE_ROLES)}) THEN 'ineligible' ELSE 'unknown' END"
+
+
+@query(f"SELECT content_role, {_POLICY.format('coalesce(lower(trim(content_role)), chr(0))')} AS status, count(*) AS n FROM chunks GROUP BY 1, 2")
+def structural_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks").select("content_role", eligibility.policy(F.col("content_role")).alias("status"))
+    return rows.groupBy("content_role", "status").agg(F.count("*").alias("n"))
+
+
+_SIGN = r"(?:©|\bcopyright\b)\s*(?:[0-9]{4}|by\b)"
+
+
+@query(f"SELECT doc_id, CAST({_LEGAL} AS INT) AS phrases, regexp_matches(flat, '{_SIGN}') AS sign FROM (SELECT doc_id, {_form('text')} AS flat FROM documents)")
+def legal_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = text.structural_form(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", eligibility.legal_matches(flat).alias("phrases"), flat.rlike(eligibility.COPYRIGHT_SIGN).alias("sign"))
+
+
+_LINES = "list_filter(list_transform(regexp_split_to_array(coalesce({0}, ''), '\\r\\n|[\\n\\x{{b}}\\x{{c}}\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: " + _COLLAPSE.format("x").replace("{", "{{").replace("}", "}}") + "), lambda x: x <> '')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LINES.format('text')} AS l FROM documents),
+c AS (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda x: len(string_split(x, ' ')) <= 12)) AS short, len(list_filter(l, lambda x: regexp_matches(x, '{eligibility.INDEX_ENTRY.replace("'", "''")}'))) AS entries FROM l)
+SELECT doc_id, coalesce(n >= 8 AND short / n >= 0.72 AND entries / n >= 0.55, false) AS is_index FROM c""")
+def index_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(eligibility.is_index(F.col("text")), F.lit(False)).alias("is_index"))
+
+
+@query(f"""WITH {_LAST} SELECT chunk_id, coalesce({_form('parent_structure')} IN ('contents', 'table of contents') OR {_form("string_split(trim(lower(content), chr(10) || chr(13) || chr(9) || ' '), chr(10))[1]")} IN ('contents', 'table of contents'), false) AS is_contents FROM last""")
+def contents_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content, parent = F.lower(text.strip(F.coalesce("content", F.lit("")))), text.structural_form(F.col("parent_structure"))
+    return _chunks(spark, sf_dir).select("chunk_id", F.coalesce(eligibility.is_contents(content, parent), F.lit(False)).alias("is_contents"))
+
+
+@query()
+def structural_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inferred role and the status of every chunk, as if it had no role."""
+    rows = _chunks(spark, sf_dir)
+    role = eligibility.inferred_role(F.col("content"), F.col("parent_structure"), eligibility.structural_values(rows))
+    return rows.select("chunk_id", role.alias("inferred"), eligibility.structural_status(rows).alias("status"))
+
+
+@query(f"""WITH {_LAST} SELECT chunk_id FROM last WHERE coalesce(lower(trim(language)), '') IN ('en', 'de') AND coalesce(lower(trim(source_type)), '') IN ('markdown', 'pdf')""")
+def metadata_filter_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir)
+    return rows.where(eligibility.matches(rows, {"language": ["EN ", "de"], "source_type": ["markdown", "pdf"], "project": None})).select("chunk_id")
+
+
+@query(f"WITH {_LAST} SELECT chunk_id FROM last WHERE coalesce(lower(trim(project)), '') = ''")
+def metadata_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _chunks(spark, sf_dir)
+    return rows.where(eligibility.matches(rows, {"project": [""]})).select("chunk_id")
+
+
+@query(f"""WITH {_LISTS}, {_LAST} SELECT l.query_id, l.channel, l.chunk_id, l.rank FROM lists l JOIN last c ON l.chunk_id = c.chunk_id JOIN questions q ON l.query_id = q.query_id
+WHERE q.source_type IS NULL OR coalesce(lower(trim(c.source_type)), '') = lower(trim(q.source_type))""")
+def metadata_filter_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list filtered by the source type that its question asks for."""
+    filters = _questions(spark, sf_dir).select("query_id", F.when(F.col("source_type").isNotNull(), F.array("source_type")).alias("source_type"))
+    known = _lists(spark, sf_dir).join(filters.select("query_id"), "query_id", "left_semi")
+    return eligibility.filter_per_query(known, _chunks(spark, sf_dir), filters).select("query_id", "channel", "chunk_id", "rank")
+
+
+@query(f"""WITH {_LISTS}, {_FUSED}, {_RRF}, {_LAST}, kept AS (SELECT r.query_id, count(*) AS n FROM rrf r JOIN last c ON r.chunk_id = c.chunk_id WHERE rank <= 20 AND coalesce(lower(trim(source_type)), '') = 'article' GROUP BY 1)
+SELECT q.query_id, coalesce(n, 0) AS kept FROM (SELECT DISTINCT query_id FROM lists) q LEFT JOIN kept k ON q.query_id = k.query_id WHERE coalesce(n, 0) < 20""")
+def postfilter_underfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters work after the cut, so a list may hold fewer than it was cut to."""
+    lists = _lists(spark, sf_dir)
+    stages = pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir), structural=False, metadata={"source_type": ["article"]})
+    kept = stages["metadata"].groupBy("query_id").agg(F.count("*").alias("kept"))
+    return lists.select("query_id").distinct().join(kept, "query_id", "left").select("query_id", F.coalesce("kept", F.lit(0)).alias("kept")).where("kept < 20")
+
+
+@query()
+def pipeline_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline for every question."""
+    lists = _lists(spark, sf_dir)
+    return pipeline.trace(pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir), metadata={"source_type": ["markdown", "pdf", "article", "note"]}))
+
+
+@query(f"""WITH {_LISTS}, {_FUSED}, {_RRF}, {_LAST}, kept AS (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY r.rank) AS n FROM rrf r JOIN last c ON r.chunk_id = c.chunk_id WHERE rank <= 20 AND coalesce(lower(trim(source_type)), '') IN ('markdown', 'pdf', 'article', 'note'))
+SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM kept WHERE n <= 5""")
+def pipeline_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage without the structural filter: ranks keep their gaps."""
+    lists = _lists(spark, sf_dir)
+    stages = pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir), structural=False, metadata={"source_type": ["markdown", "pdf", "article", "note"]})
+    return stages["final"].select("query_id", "chunk_id", "score", "rank")
+
+
+# Evaluation
+
+
+@query("SELECT query_id, chunk_id, grade FROM (WITH " + _GOLD + " SELECT * FROM gold) WHERE grade > 0")
+def grade_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.best_grades(_gold(spark, sf_dir))
+
+
+@query(f"WITH {_GOLD} SELECT query_id, chunk_id FROM gold g WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = g.chunk_id)")
+def gold_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.missing_gold(_gold(spark, sf_dir), table(spark, sf_dir, "chunks"))
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.per_query(_channel(spark, sf_dir, "dense"), _questions(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query(f"WITH {_MEASURED} SELECT * FROM measured")
+def metrics_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir)
+
+
+@query(f"WITH {_MEASURED} SELECT count(*) AS questions, {', '.join(f'round(coalesce(avg({m}), 0.0), 9) AS {m}' for m in _METRICS)} FROM measured WHERE answerable")
+def metrics_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.overall(_measured(spark, sf_dir))
+
+
+@query(f"WITH {_MEASURED} SELECT category, count(*) AS questions, {', '.join(f'round(CASE WHEN bool_or(answerable) THEN avg({m}) ELSE 0.0 END, 9) AS {m}' for m in _METRICS)} FROM measured GROUP BY 1")
+def metrics_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.by_category(_measured(spark, sf_dir))
+
+
+_RANKS = "{0}_r AS (SELECT l.query_id, min(l.rank) AS {0}_gold_rank FROM {1} l JOIN gold g ON l.query_id = g.query_id AND l.chunk_id = g.chunk_id WHERE grade >= 2 AND l.rank <= 20 GROUP BY 1)"
+_COMPLEMENT = f"""{_LISTS}, {_GOLD}, {_FUSED}, {_RRF},
+dense_l AS (SELECT * FROM lists WHERE channel = 'dense'), bm25_l AS (SELECT * FROM lists WHERE channel = 'bm25'),
+{_RANKS.format('dense', 'dense_l')}, {_RANKS.format('bm25', 'bm25_l')}, {_RANKS.format('hybrid', '(SELECT * FROM rrf WHERE rank <= 20)')},
+d AS (SELECT query_id, list(DISTINCT chunk_id) AS d FROM dense_l WHERE rank <= 20 GROUP BY 1), b AS (SELECT query_id, list(DISTINCT chunk_id) AS b FROM bm25_l WHERE rank <= 20 GROUP BY 1),
+j AS (SELECT q.query_id, coalesce(d, []) AS d, coalesce(b, []) AS b, dense_gold_rank, bm25_gold_rank, hybrid_gold_rank FROM questions q LEFT JOIN d ON d.query_id = q.query_id LEFT JOIN b ON b.query_id = q.query_id
+ LEFT JOIN dense_r ON dense_r.query_id = q.query_id LEFT JOIN bm25_r ON bm25_r.query_id = q.query_id LEFT JOIN hybrid_r ON hybrid_r.query_id = q.query_id WHERE answerable),
+k AS (SELECT *, len(list_intersect(d, b)) AS i, len(list_distinct(list_concat(d, b))) AS u FROM j),
+rows_ AS (SELECT query_id, CAST(len(d) AS INT) AS dense_count, CAST(len(b) AS INT) AS bm25_count, CAST(i AS INT) AS intersection, CAST(u AS INT) AS union_count, round(CASE WHEN u = 0 THEN 0.0 ELSE i / u END, 9) AS jaccard,
+ CAST(len(d) - i AS INT) AS unique_dense, CAST(len(b) - i AS INT) AS unique_bm25, dense_gold_rank, bm25_gold_rank, CAST(hybrid_gold_rank AS INT) AS hybrid_gold_rank,
+ CASE WHEN dense_gold_rank IS NOT NULL AND bm25_gold_rank IS NOT NULL THEN 'both' WHEN dense_gold_rank IS NOT NULL THEN 'dense_only' WHEN bm25_gold_rank IS NOT NULL THEN 'bm25_only' ELSE 'neither' END AS classification,
+ CASE WHEN hybrid_gold_rank IS NULL THEN NULL WHEN bm25_gold_rank IS NOT NULL AND dense_gold_rank IS NULL THEN 'bm25_rescued_dense' WHEN dense_gold_rank IS NOT NULL AND bm25_gold_rank IS NULL THEN 'dense_rescued_bm25' END AS rescue FROM k)"""
+
+
+def _complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _channel(spark, sf_dir, "dense"), _channel(spark, sf_dir, "bm25")
+    return evaluation.complementarity(a, b, fusion.hybrid(a, b), _questions(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query(f"WITH {_COMPLEMENT} SELECT * FROM rows_")
+def complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _complement(spark, sf_dir)
+
+
+@query(f"""WITH {_COMPLEMENT} SELECT count(*) AS questions, {', '.join(f"count(*) FILTER (classification = '{c}') AS {c}" for c in ('both', 'dense_only', 'bm25_only', 'neither'))},
+{', '.join(f"count(*) FILTER (rescue = '{c}') AS {c}" for c in ('bm25_rescued_dense', 'dense_rescued_bm25'))},
+{', '.join(f"round(coalesce({f}({c}), 0.0), 9) AS {n}_{c}" for c in ('intersection', 'jaccard') for n, f in (('mean', 'avg'), ('median', 'median')))},
+{', '.join(f"round(coalesce(avg({c}), 0.0), 9) AS mean_{c}" for c in ('unique_dense', 'unique_bm25'))} FROM rows_""")
+def complementarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.complementarity_summary(_complement(spark, sf_dir))
+
+
+# Gold mapping: the first sentence of each pdf chunk is the evidence, looked for among the chunks of its page.
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _chunks(spark, sf_dir).where("provenance.page is not null")
+    span = F.regexp_extract("content", r"^[^.!?\n]{20,200}[.!?]", 0)
+    named = rows.select("chunk_id", "content", F.concat_ws("#", "document_id", F.col("provenance.page").cast("string")).alias("page"), span.alias("span"))
+    return named.where("span <> ''").select(F.col("chunk_id").alias("evidence_id"), "page", "span"), named.select("chunk_id", "page", "content")
+
+
+@query()
+def gold_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence, chunks = _evidence(spark, sf_dir)
+    return goldmap.containing(evidence, chunks)
+
+
+@query()
+def gold_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence, chunks = _evidence(spark, sf_dir)
+    return goldmap.classify(evidence, goldmap.containing(evidence, chunks))
+
+
+@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS compact FROM documents WHERE text IS NOT NULL")
+def compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.compact_form(F.col("text")).alias("compact"))
+
+
+# Catalogue
+
+
+@query("""WITH r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS INT) AS position, chunk_id FROM (SELECT DISTINCT query_id, chunk_id, rank FROM ranked_chunks WHERE channel = 'usage' AND rank IS NOT NULL)),
+c AS (SELECT chunk_id, max(content) AS content FROM chunks GROUP BY 1) SELECT query_id, position, r.chunk_id, content FROM r JOIN c ON r.chunk_id = c.chunk_id""")
+def retrieve_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks in the order in which each question asks for them."""
+    rows = table(spark, sf_dir, "ranked_chunks").where("channel = 'usage' and rank is not null").select("query_id", "chunk_id", "rank").distinct()
+    from pyspark.sql import Window
+
+    asked = rows.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")))
+    contents = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.max("content").alias("content"))
+    got = shelves.retrieve(asked.withColumn("position", F.struct("query_id", "position")), contents, check=False)
+    return got.select("position.query_id", "position.position", "chunk_id", "content")
+
+
+@query("SELECT DISTINCT chunk_id FROM ranked_chunks r WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = r.chunk_id)")
+def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelves.missing(table(spark, sf_dir, "ranked_chunks"), table(spark, sf_dir, "chunks"))
+
+
+@query("SELECT DISTINCT chunk_id FROM article_chunks a WHERE chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.chunk_id = a.chunk_id)")
+def anti_join_new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "article_chunks").where("chunk_id is not null").select("chunk_id").distinct()
+    return dense.unseen(rows, table(spark, sf_dir, "chunks"))
+
+
+@query("SELECT chunk_id, epoch_us(max(ingested_at)) AS ingested_us FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("chunk_id", F.unix_micros("ingested_at").alias("ingested_us"))
+
+
+@query("""SELECT chunk_id, source_type FROM (SELECT DISTINCT chunk_id, 'new' AS source_type FROM article_chunks WHERE chunk_id IS NOT NULL
+UNION ALL SELECT chunk_id, min(source_type) FROM chunks c WHERE chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM article_chunks a WHERE a.chunk_id = c.chunk_id) GROUP BY 1)""")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = table(spark, sf_dir, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.min("source_type").alias("source_type"))
+    rows = table(spark, sf_dir, "article_chunks").where("chunk_id is not null").select("chunk_id", F.lit("new").alias("source_type"))
+    return dense.upsert(store, rows)
+
+
+@query("SELECT DISTINCT chunk_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.document_id = c.document_id)")
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks").select("chunk_id", "document_id").distinct()
+    return dense.delete(rows, table(spark, sf_dir, "documents")).select("chunk_id").distinct()
+
+
+@query("""SELECT document_id, count(DISTINCT chunk_id) AS chunks FROM chunks WHERE document_id IS NOT NULL GROUP BY 1""")
+def documents_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelves.documents_from_chunks(table(spark, sf_dir, "chunks")).select("document_id", "chunks")
+
+
+@query()
+def documents_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelves.documents_from_chunks(table(spark, sf_dir, "chunks"))
+
+
+@query("SELECT doc_id, document_id, source_type, title FROM documents WHERE source_type = 'article' ORDER BY doc_id LIMIT 100 OFFSET 20")
+def documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelves.page(table(spark, sf_dir, "documents"), 100, 20, "article", "doc_id").select("doc_id", "document_id", "source_type", "title")
+
+
+@query("""WITH s AS (SELECT DISTINCT source_type, source_uri, provenance.repository AS repository, coalesce(element_at(metadata, 'project')[1], project) AS project, document_id FROM chunks)
+SELECT sha256(coalesce(source_type, '') || chr(0) || coalesce(source_uri, '') || chr(0) || coalesce(repository, '') || chr(0) || coalesce(project, '')) AS source_id, source_type, source_uri, repository, project, count(DISTINCT document_id) AS documents FROM s GROUP BY ALL""")
+def sources_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelves.sources(table(spark, sf_dir, "chunks"))
+
+
+@query("""WITH a AS (SELECT DISTINCT document_id, text FROM documents WHERE source_type <> 'note'), b AS (SELECT DISTINCT document_id, text FROM documents WHERE source_type <> 'pdf')
+SELECT coalesce(a.document_id, b.document_id) AS document_id, CASE WHEN a.document_id IS NULL THEN 'NEW' WHEN b.document_id IS NULL THEN 'DELETED' WHEN a.text IS NOT DISTINCT FROM b.text THEN 'UNCHANGED' ELSE 'MODIFIED' END AS change FROM a FULL JOIN b ON a.document_id = b.document_id""")
+def change_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of the documents, one without notes and one without paged files."""
+    rows = table(spark, sf_dir, "documents")
+    old, new = (rows.where(F.col("source_type") != t).select("document_id", "text").distinct() for t in ("note", "pdf"))
+    return shelves.changes(old, new, "document_id", "text")
+
+
+# Blocks and sections
+
+
+@query("""WITH b AS (SELECT doc_id, unnest(structure) AS b FROM documents) SELECT doc_id, b.pos AS pos, b."type" AS "type", b.level AS level, array_to_string(b.heading_path, ' > ') AS heading_path FROM b WHERE b."type" = 'heading'""")
+def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded headings with the path that windows over their levels give."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode("structure").alias("b")).where("b.type = 'heading'")
+    at = F.try_element_at(F.col("b.heading_path"), F.lit(-1))
+    named = rows.select("doc_id", F.col("b.pos").alias("pos"), F.col("b.type").alias("type"), F.col("b.level").alias("level"), at.alias("title"))
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    for level in range(1, 7):
+        named = named.withColumn(f"h{level}", F.last(F.when(F.col("level") == level, F.struct("pos", "title")), ignorenulls=True).over(order))
+    kept, last = [], F.lit(-1)
+    for level in range(1, 7):
+        here = F.col(f"h{level}")
+        shown = here.isNotNull() & (F.col("level") >= level) & (here["pos"] > last)
+        kept.append(F.when(shown, here["title"]))
+        last = F.greatest(last, F.coalesce(here["pos"], F.lit(-1))) if level < 6 else last
+    return named.select("doc_id", "pos", "type", "level", F.array_join(F.filter(F.array(*kept), lambda x: x.isNotNull()), " > ").alias("heading_path"))
+
+
+@query("""WITH b AS (SELECT doc_id, unnest(structure) AS b FROM documents) SELECT doc_id, b.pos AS pos, CAST(sum(CASE WHEN b."type" = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b.pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM b""")
+def section_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode("structure").alias("b"))
+    order = Window.partitionBy("doc_id").orderBy("b.pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("doc_id", F.col("b.pos").alias("pos"), F.sum(F.when(F.col("b.type") == "heading", 1).otherwise(0)).over(order).alias("section"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, line, n, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) - 1 AS occurrence FROM l""")
+def block_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("type", F.lit("line"))
+    out = blocks.occurrences(rows, ["doc_id"])
+    return out.select("doc_id", F.col("text").alias("line"), (F.col("position") + 1).cast("bigint").alias("n"), F.col("occurrence").cast("bigint").alias("occurrence"))
+
+
+@query()
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.parse_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "raw_articles").dropDuplicates(["source_uri"])
+    return blocks.parse_blocks(articles, "source_uri", "content", "article")
+
+
+@query()
+def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.sections(article_blocks(spark, sf_dir), "source_uri").withColumn("heading_path", F.array_join("heading_path", " > ")).withColumn("block_types", F.array_join("block_types", ","))
+
+
+@query()
+def article_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.titles(article_blocks(spark, sf_dir), "source_uri")
+
+
+# Chunkers
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+@query()
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(chunking.chunk_documents(table(spark, sf_dir, "documents"), "recursive", "doc_id"))
+
+
+@query()
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(chunking.chunk_documents(table(spark, sf_dir, "documents").where("source_type = 'markdown'"), "markdown", "doc_id"))
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paged documents; every 3,000 characters of a paged document's text make a page."""
+    rows = table(spark, sf_dir, "documents").where("source_type = 'pdf'").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,3000}"), F.lit(0))).alias("page", "text"))
+    return chunking.chunk_pages(rows.withColumn("page", F.col("page") + 1))
+
+
+@query()
+def article_chunks_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(chunking.chunk_documents(table(spark, sf_dir, "raw_articles").dropDuplicates(["source_uri"]), "article", "source_uri", "content"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelves.latest(table(spark, sf_dir, "code_files"), "file_id", "ingested_at")
+
+
+@query()
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.extract_symbols(_files(spark, sf_dir), "file_id")
+
+
+@query()
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.chunk_code(_files(spark, sf_dir), "file_id")
+
+
+# Identities and canonical rows
+
+
+@query("SELECT DISTINCT file_id, sha256(relative_path || chr(0) || coalesce(content_hash, '')) AS document_id FROM code_files WHERE relative_path IS NOT NULL")
+def code_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "code_files").where("relative_path is not null")
+    return rows.select("file_id", ids.code_document_id(F.col("relative_path"), F.col("content_hash")).alias("document_id")).distinct()
+
+
+@query("SELECT DISTINCT source_uri, sha256(source_uri || chr(0) || sha256(content)) AS document_id FROM raw_articles WHERE source_uri IS NOT NULL AND content IS NOT NULL")
+def article_document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.article_documents(table(spark, sf_dir, "raw_articles")).select("source_uri", "document_id").distinct()
+
+
+@query("SELECT DISTINCT chunk_id, sha256(document_id || ':' || '0' || ':' || content) AS recursive_id, sha256(document_id || ':0:1:' || content) AS markdown_id FROM chunks WHERE document_id IS NOT NULL AND content IS NOT NULL AND chunk_id IS NOT NULL")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks").where("document_id is not null and content is not null and chunk_id is not null")
+    a = ids.recursive_chunk_id(F.col("document_id"), F.lit(0), F.col("content"))
+    b = ids.markdown_chunk_id(F.col("document_id"), F.lit(0), F.lit(1), F.col("content"))
+    return rows.select("chunk_id", a.alias("recursive_id"), b.alias("markdown_id")).distinct()
+
+
+@query()
+def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks").where("chunk_id is not null").select("chunk_id").distinct()
+    return rows.select("chunk_id", ids.point_id(F.col("chunk_id")).alias("point_id"))
+
+
+@query()
+def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = canonical.code_documents(_files(spark, sf_dir))
+    return rows.select("document_id", "source_type", "title", "source_uri", F.to_json("metadata").alias("metadata"), F.to_json("provenance").alias("provenance"))
+
+
+@query("""WITH d AS (SELECT DISTINCT document_id FROM documents), c AS (SELECT DISTINCT chunk_id, document_id, content, content_hash FROM chunks)
+SELECT chunk_id, problem FROM (SELECT chunk_id, unnest([CASE WHEN d.document_id IS NULL THEN 'unknown document' END, CASE WHEN content_hash IS NOT NULL AND lower(content_hash) <> sha256(content) THEN 'wrong content_hash' END,
+ CASE WHEN content_hash IS NULL THEN 'no content_hash' END, CASE WHEN coalesce(trim(content), '') = '' THEN 'empty content' END]) AS problem FROM c LEFT JOIN d ON c.document_id = d.document_id) WHERE problem IS NOT NULL""")
+def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "document_id", "content", "content_hash").distinct()
+    nothing = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select("document_id", nothing.alias("source_uri"), nothing.alias("source_type"))
+    return canonical.broken_chunks(chunks.withColumn("source_uri", nothing).withColumn("source_type", nothing), docs)
+
+
+@query()
+def map_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata merged with the chunk's own fields, which win."""
+    rows = _chunks(spark, sf_dir)
+    own = F.map_filter(F.create_map(F.lit("language"), F.col("language"), F.lit("location"), F.col("location")), lambda _, v: v.isNotNull())
+    merged = F.array_sort(F.map_entries(canonical.merged_metadata(F.col("metadata"), own)))
+    return rows.select("chunk_id", F.array_join(F.transform(merged, lambda e: F.concat_ws("=", e["key"], e["value"])), "&").alias("metadata"))
+
+
+# Sources
+
+_SUFFIX = "lower(regexp_extract(regexp_extract(relative_path, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1))"
+_LANGUAGE = "CASE " + " ".join(f"WHEN {_SUFFIX} IN ({_quoted([e for e, v in discovery.EXTENSIONS.items() if v == n])}) THEN '{n}'" for n in sorted(set(discovery.EXTENSIONS.values()))) + " END"
+_STATUS = f"""CASE WHEN list_has_any(string_split(relative_path, '/')[:-2], [{_quoted(discovery.EXCLUDED_DIRECTORIES)}]) THEN 'directory' WHEN regexp_extract(relative_path, '([^/]*)$', 1) IN ({_quoted(discovery.EXCLUDED_NAMES)})
+ THEN CASE WHEN contains(regexp_extract(relative_path, '([^/]*)$', 1), 'lock') THEN 'lockfile' ELSE 'excluded name' END WHEN {_SUFFIX} IN ('.map') THEN 'excluded suffix' WHEN {_LANGUAGE} IS NULL THEN 'unsupported' WHEN size > {discovery.MAX_BYTES} THEN 'too large' ELSE 'accepted' END"""
+
+
+@query(f"SELECT DISTINCT file_id, relative_path, {_LANGUAGE} AS language FROM code_files")
+def language_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "code_files").select("file_id", "relative_path", discovery.language(F.col("relative_path")).alias("language")).distinct()
+
+
+@query(f"SELECT DISTINCT file_id, {_STATUS} AS status FROM code_files")
+def discovery_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "code_files").select("file_id", discovery.status(F.col("relative_path"), F.col("size")).alias("status")).distinct()
+
+
+@query(f"SELECT {_STATUS} AS status, {_LANGUAGE} AS language, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM code_files GROUP BY 1, 2")
+def discovery_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "code_files").select(F.col("relative_path").alias("path"), "size", discovery.status(F.col("relative_path"), F.col("size")).alias("status"))
+    return discovery.statistics(rows)
+
+
+@query("""WITH n AS (SELECT DISTINCT file_id, relative_path AS a, '/' || relative_path AS b, replace(relative_path, '/', '\\') AS c, '../' || relative_path AS d FROM code_files WHERE relative_path IS NOT NULL)
+SELECT file_id, a AS plain, CAST(NULL AS VARCHAR) AS absolute, replace(c, '\\', '/') AS slashed, CAST(NULL AS VARCHAR) AS parent FROM n""")
+def zip_member_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path as an archive member, plain and in three suspicious forms."""
+    rows = table(spark, sf_dir, "code_files").where("relative_path is not null").select("file_id", "relative_path").distinct()
+    path = F.col("relative_path")
+    forms = {"plain": path, "absolute": F.concat(F.lit("/"), path), "slashed": F.replace(path, F.lit("/"), F.lit("\\")), "parent": F.concat(F.lit("../"), path)}
+    return rows.select("file_id", *[discovery.member_name(v).alias(k) for k, v in forms.items()])
+
+
+@query("""SELECT DISTINCT owner, name, owner || '/' || name AS parsed, CAST(NULL AS VARCHAR) AS other_host FROM repositories""")
+def repo_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "repositories")
+    url = F.concat(F.lit(f"https://{urls.REPOSITORY_HOST}/"), "owner", F.lit("/"), "name", F.lit(".git"))
+    return rows.select("owner", "name", urls.repository(url).alias("parsed"), urls.repository(F.col("url")).alias("other_host")).distinct()
+
+
+@query("SELECT DISTINCT source_uri, false AS accepted, 'https://notes.hashnode.dev/' || md5(source_uri) || '.md' AS endpoint FROM raw_articles WHERE source_uri IS NOT NULL")
+def article_url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "raw_articles").where("source_uri is not null")
+    made = F.concat(F.lit("https://notes.hashnode.dev/"), F.md5("source_uri"), F.lit("?x=1"))
+    return rows.select("source_uri", urls.is_article(F.col("source_uri")).alias("accepted"), urls.article_endpoint(made).alias("endpoint")).distinct()
+
+
+@query("SELECT query_id, question, answerable, CASE WHEN answerable THEN 'answerable' ELSE 'unanswerable' END AS category, source_type FROM questions")
+def question_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _questions(spark, sf_dir)
+    return rows.select("query_id", "question", "answerable", F.when(F.col("answerable"), "answerable").otherwise("unanswerable").alias("category"), "source_type")
+
+
+@query(f"SELECT doc_id, CASE WHEN length({_COLLAPSE.format('text')}) > 140 THEN substring({_COLLAPSE.format('text')}, 1, 137) || '...' ELSE {_COLLAPSE.format('text')} END AS preview FROM documents")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+
+
+@query()
+def published_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "raw_articles").dropDuplicates(["source_uri"])
+    return rows.select("source_uri", "published_at", text.iso_timestamp(F.col("published_at")).alias("parsed"))
+
+
+@query("SELECT source_type, content_role, count(*) AS n FROM chunks GROUP BY 1, 2")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").groupBy("source_type", "content_role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL")
+def stream_append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks taken in as a stream of files: each chunk_id once."""
+    base = f"{shared_dir(spark)}/strataforge/stream-{uuid.uuid4().hex}"
+    ingest.append_new(spark, f"{sf_dir}/chunks.parquet*", f"{base}/rows", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/rows").select("chunk_id")
