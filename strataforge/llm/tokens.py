@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import base64
-import os
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder and file of the vocabulary; both are parameters of every function that counts.
-FOLDER = os.environ.get("STRATAFORGE_TOKENIZERS", "/opt/tokenizers")
-FILE = "byte_bpe_50k.tiktoken"
-# Fixed value: the published split pattern of this byte-level BPE.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-
-
-@lru_cache(maxsize=4)
-def encoding(folder: str = FOLDER, file: str = FILE):  # noqa: ANN201
-    """The tokenizer, loaded once per worker."""
-    import tiktoken
-
-    with open(os.path.join(folder, file), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(file, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+from strataforge.functions.tokenizer import FILE, FOLDER, encoding
 
 
 def token_ends(text: str, folder: str = FOLDER, file: str = FILE) -> list[int]:
