@@ -99,7 +99,7 @@ class Parser:
 
     def _marker(self) -> bool:
         token = self.now
-        return token.newline and "".join(t.text for t in self.tokens[self.at : self.at + 7])[:7] in ("<<<<<<<", ">>>>>>>", "=======", "|||||||")
+        return (token.newline or not self.at) and "".join(t.text for t in self.tokens[self.at : self.at + 7])[:7] in ("<<<<<<<", ">>>>>>>", "=======", "|||||||")
 
     def record(self, error: Reject) -> None:
         self.problems.append(Problem(error.message, self.tokens[min(error.at, len(self.tokens) - 1)].line, error.cause))
