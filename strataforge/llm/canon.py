@@ -107,7 +107,6 @@ def build_mapping() -> dict[str, str]:
 
 
 MAPPING = build_mapping()
-_LONGEST = max(map(len, MAPPING))
 #: A run of non-ASCII code points with the ASCII base that a mark may follow.
 _RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
 
@@ -128,18 +127,19 @@ def _transduce(run: str) -> str:
                 marks.append(run[at])
             at += 1
         text = cluster[0]
-        if marks:
-            marks.sort(key=unicodedata.combining)
+        if marks:  # base and marks in canonical order, composed as far as the mapping goes
             base, text = text[-1:], text[:-1]
-            k = 0
-            while k < len(marks):  # longest match of base and marks
-                for take in range(min(len(marks) - k, _LONGEST - 1), 0, -1):
-                    if (found := MAPPING.get(base + "".join(marks[k : k + take]))) is not None:
-                        base, k = found, k + take
-                        break
+            parts = unicodedata.normalize("NFD", base)
+            base, marks = parts[:1], sorted([*parts[1:], *marks], key=unicodedata.combining)
+            left: list[str] = []
+            for mark in marks:
+                blocked = left and unicodedata.combining(left[-1]) == unicodedata.combining(mark)
+                composed = None if blocked else MAPPING.get(base + mark)
+                if composed is None:
+                    left.append(mark)
                 else:
-                    text, base, k = text + base, marks[k], k + 1
-            text += base
+                    base = composed
+            text += base + "".join(left)
         out.append(text)
     return "".join(out)
 

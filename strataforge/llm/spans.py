@@ -240,7 +240,7 @@ def verified(pairs: DataFrame, documents: DataFrame, ident: str = "doc_id", text
     """(doc_a, doc_b, spans): candidate pairs whose source texts share a span, with the spans."""
     texts = documents.where(F.octet_length(text) >= least).select(F.col(ident).cast("bigint").alias("d"), F.col(text).cast("string").alias("t"))
     involved = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("d")).distinct()
-    texts = texts.join(involved, "d", "left_semi")
+    texts = texts.join(involved, "d", "left_semi").dropDuplicates(["d"])
     joined = pairs.join(texts.select(F.col("d").alias("doc_a"), F.col("t").alias("ta")), "doc_a").join(texts.select(F.col("d").alias("doc_b"), F.col("t").alias("tb")), "doc_b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -71,6 +71,9 @@ def pieces(text: str | None, max_size: int, overlap: int, starts: list[int] | No
                     cut -= 1
         out.append((start, cut, level))
         done = cut
+        if not overlap:
+            start = cut
+            continue
         want = bisect_left(size, size[cut] - overlap)
         k = bisect_left(merged, want)
         near = [m for m in merged[max(0, k - 1) : k + 1] if start < m <= cut and abs(m - want) * 4 <= max(cut - want, 4)]
