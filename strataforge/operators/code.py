@@ -39,10 +39,10 @@ class Symbol:
 
 _MASK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _BRACED = {
-    "c": [("struct", r"\bstruct\s+(?P<name>\w+)\s*(?=\{)"), ("enum", r"\benum\s+(?P<name>\w+)\s*(?=\{)"), ("function", r"^(?!\s*(?:return|else|typedef|if|for|while|switch)\b)[A-Za-z_][\w\s*]*?[\s*](?P<name>[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?=\{)")],
+    "c": [("struct", r"\bstruct\s+(?P<name>\w+)\s*(?=\{)"), ("enum", r"\benum\s+(?P<name>\w+)\s*(?=\{)"), ("function", r"^[ \t]*(?!(?:return|else|typedef|if|for|while|switch)\b)[A-Za-z_][\w\s*]*?[\s*](?P<name>[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?=\{)")],
     "javascript": [("class", r"\bclass\s+(?P<name>[\w$]+)[^{;]*(?=\{)"), ("function", r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^>{}]*>)?\([^{}]*?\)\s*(?::[^{;=]+)?(?=\{)")],
 }
-_BRACED["cpp"] = [("namespace", r"\bnamespace\s+(?P<name>[\w:]+)\s*(?=\{)"), ("class", r"\bclass\s+(?P<name>\w+)[^{};()]*(?=\{)"), *_BRACED["c"][:1], ("enum", r"\benum\s+(?:class\s+|struct\s+)?(?P<name>\w+)[^{};]*(?=\{)"), ("function", r"^(?!\s*(?:return|else|typedef|if|for|while|switch|namespace|class|struct|enum)\b)[A-Za-z_~][\w\s*&:<>,~]*?(?P<name>~?[A-Za-z_]\w*)\s*\([^;{}]*\)(?:\s*(?:const|noexcept|override|final))*(?:\s*:[^{};]*(?:\{\}|\([^)]*\))[^{};]*)?\s*(?=\{)")]
+_BRACED["cpp"] = [("namespace", r"\bnamespace\s+(?P<name>[\w:]+)\s*(?=\{)"), ("class", r"\bclass\s+(?P<name>\w+)[^{};()]*(?=\{)"), *_BRACED["c"][:1], ("enum", r"\benum\s+(?:class\s+|struct\s+)?(?P<name>\w+)[^{};]*(?=\{)"), ("function", r"^[ \t]*(?!(?:return|else|typedef|if|for|while|switch|namespace|class|struct|enum)\b)[A-Za-z_~][\w\s*&:<>,~]*?(?P<name>~?[A-Za-z_]\w*)\s*\([^;{}]*\)(?:\s*(?:const|noexcept|override|final))*(?:\s*:[^{};]*(?:\{\}|\([^)]*\))[^{};]*)?\s*(?=\{)")]
 _BRACED["typescript"] = [*_BRACED["javascript"], ("interface", r"\binterface\s+(?P<name>[\w$]+)[^{;]*(?=\{)"), ("enum", r"\benum\s+(?P<name>[\w$]+)\s*(?=\{)")]
 _METHOD = r"^[ \t]*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+)*(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)[\w$]+)\s*(?:<[^>{}]*>)?\([^{}]*?\)\s*(?::[^{;=]+)?(?=\{)"
 _ALIAS = re.compile(r"^[ \t]*(?:export\s+)?type\s+(?P<name>[\w$]+)\s*(?:<[^=]*>)?\s*=[^;]*;", re.M)
