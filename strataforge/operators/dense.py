@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.operators.lexical import top
+from strataforge.session import written
 
 #: Query vectors that one scan of the store carries; larger sets are searched in blocks.
 BLOCK = 2048
@@ -30,25 +31,31 @@ def cosine(a: Column, b: Column) -> Column:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, ident: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(query_id, channel, chunk_id, score, rank): the k nearest vectors of every query, exactly.
 
-    queries(query_id, embedding) is a stated set, taken in blocks of ``BLOCK`` vectors that every task holds while it streams over its
-    vectors and keeps the best k of each query; k rows per query and task are merged. Scores are rounded to nine places before
+    queries(query_id, embedding) is a stated set with distinct ids, taken in blocks of ``BLOCK`` vectors that every task holds while it
+    streams over its vectors and keeps the best k of each query; k rows per query and task are merged. Scores are rounded to nine places before
     ties go to the smaller id. Vectors of another size than the query's, null and zero vectors are left out.
     """
     if k <= 0:
         return queries.select("query_id", F.lit("dense").alias("channel"), F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
     spark = vectors.sparkSession
-    asked = [(r[0], r[1]) for r in queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("string"), "embedding").orderBy("query_id").toLocalIterator()]
     store = vectors.where(F.col(ident).isNotNull() & F.col(vector).isNotNull()).select(F.col(ident).cast("string"), F.col(vector).cast("array<double>"))
-    schema = "query_id string, chunk_id string, score double"
-    out = None
-    for first in range(0, len(asked), BLOCK):
-        block = asked[first : first + BLOCK]
+    wanted = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("string"), "embedding")
+
+    def nearest(block: list) -> DataFrame:
         shared = spark.sparkContext.broadcast(([b[0] for b in block], [np.array(b[1], float) for b in block]))
-        found = store.mapInArrow(_nearest(shared, k), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return top(out, k).select("query_id", F.lit("dense").alias("channel"), "chunk_id", "score", "rank")
+        return top(store.mapInArrow(_nearest(shared, k), "query_id string, chunk_id string, score double"), k)
+
+    out: DataFrame | None = None
+    block: list = []
+    for row in wanted.toLocalIterator():  # the driver holds one block at a time
+        block.append((row[0], row[1]))
+        if len(block) == BLOCK:
+            done = written(nearest(block), "nearest")
+            out, block = (done if out is None else out.unionByName(done)), []
+    if block or out is None:
+        last = nearest(block)
+        out = last if out is None else out.unionByName(last)
+    return out.select("query_id", F.lit("dense").alias("channel"), "chunk_id", "score", "rank")
 
 
 def _nearest(shared, k: int):  # noqa: ANN001, ANN202

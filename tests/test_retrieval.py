@@ -114,3 +114,11 @@ def test_complementarity_golden_numbers(spark):
     got = evaluation.complementarity(listed("shared", "gold-b", "dense-only"), listed("shared", "bm25-only", "gold-a"), listed("shared", "gold-b"), questions, gold).first()
     assert (got["intersection"], got["union_count"], got["jaccard"], got["unique_dense"], got["unique_bm25"]) == (1, 5, 0.2, 2, 2)
     assert (got["dense_gold_rank"], got["bm25_gold_rank"], got["hybrid_gold_rank"], got["classification"]) == (2, 3, 2, "both")
+
+
+def test_dense_in_blocks_equals_one_block(spark, rows, monkeypatch):
+    vectors = spark.createDataFrame([(f"v{i}", [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id string, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", [float(i), 1.0, 2.0]) for i in range(7)], "query_id string, embedding array<double>")
+    want = rows(dense.search(vectors, queries, 4))
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    assert rows(dense.search(vectors, queries, 4)) == want and len(want) == 28
