@@ -113,7 +113,7 @@ def report(mixed: DataFrame, weights: DataFrame) -> DataFrame:
     """Shares actually reached, one row per listed source: (source, target_share, actual_share, tokens, uses, most_uses, max_repeats)."""
     uses = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("u"))
     sums = uses.groupBy("source").agg(F.sum("t").alias("tokens"), F.sum("u").alias("uses"), F.max("u").alias("most_uses"))
-    whole = sums.agg(F.sum("tokens").alias("whole"))
     zero = F.lit(0).cast("bigint")
-    joined = weights.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(sums, "source", "left").crossJoin(F.broadcast(whole))
-    return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("uses", zero).alias("uses"), F.coalesce("most_uses", zero).alias("most_uses"), "max_repeats")
+    joined = weights.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).join(sums, "source", "left")
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # one row per listed source
+    return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / whole, F.lit(0.0)), 6).alias("actual_share"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("uses", zero).alias("uses"), F.coalesce("most_uses", zero).alias("most_uses"), "max_repeats")
