@@ -68,6 +68,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankfusion.leaders(rankfusion.fuse(table(spark, sf_dir, "ranked_chunks")))
 
 
+SQL["p3_found"] = """
+WITH latest AS (SELECT DISTINCT ON (query_id, channel, chunk_id) query_id, channel, chunk_id, CASE WHEN channel = 'l2' THEN -score ELSE score END AS s, rank
+  FROM ranked_chunks ORDER BY query_id, channel, chunk_id, score IS NULL, recorded_at DESC),
+placed AS (SELECT *, count(*) OVER (PARTITION BY query_id, channel) AS n,
+  CASE WHEN s IS NULL THEN rank ELSE rank() OVER (PARTITION BY query_id, channel ORDER BY s DESC NULLS LAST) END AS place FROM latest),
+summed AS (SELECT query_id, chunk_id, sum(coalesce(greatest(0, (n - place + 1) / n), 0)) AS total FROM placed GROUP BY 1, 2)
+SELECT query_id, arg_min(chunk_id, (-total, chunk_id)) AS chunk_id FROM summed GROUP BY 1
+"""
+
+
 @query
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fused list of each query."""
@@ -83,6 +93,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.lookalike_pairs(text_records(spark, sf_dir))
 
 
+# The mapping as SQL functions: drop what is invisible, translate one to one, compose, and write ligatures out.
+_PLAIN = "".join(k for k, v in canon.MAPPING.items() if len(k) == 1 and len(v) == 1)
+_READS = "".join(canon.MAPPING[k] for k in _PLAIN).replace("'", "''")
+_SEEN = f"nfc_normalize(translate(nfc_normalize(translate(translate(text, '{canon.INVISIBLE}', ''), '{_PLAIN}', '{_READS}')), '{_PLAIN}', '{_READS}'))"
+for _joined, _letters in canon.LIGATURES.items():
+    _SEEN = f"replace({_SEEN}, '{_joined}', '{_letters}')"
+SQL["p6_found"] = f"""
+WITH records AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION
+  SELECT 'chunk', chunk_id, content FROM chunks WHERE source_type IN ('markdown', 'pdf', 'article', 'note')),
+seen AS (SELECT kind, id, text, {_SEEN} AS canon FROM records WHERE text IS NOT NULL)
+SELECT DISTINCT a.kind AS record_kind, a.id AS record_id_a, b.id AS record_id_b FROM seen a JOIN seen b ON a.kind = b.kind AND a.canon = b.canon AND a.id < b.id AND a.text <> b.text
+"""
+
+
 @query
 def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that have a look-alike, with their class."""
@@ -105,6 +129,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
+SQL["p10_found"] = """
+WITH grams AS (SELECT DISTINCT doc_id, hash(substring(text, CAST(i AS BIGINT), 200)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+many AS (SELECT g FROM grams GROUP BY 1 HAVING count(*) > 1), kept AS (SELECT doc_id, g FROM grams SEMI JOIN many USING (g))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM kept a JOIN kept b ON a.g = b.g AND a.doc_id < b.doc_id
+"""
+
+
 @query
 def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is shared with another."""
@@ -125,6 +156,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("record_id_a").alias("chunk_id_a"), F.col("record_id_b").alias("chunk_id_b"))
 
 
+SQL["p7_found"] = f"""
+WITH texts AS (SELECT DISTINCT chunk_id, content AS text FROM chunks WHERE source_type IN ('markdown', 'pdf', 'article', 'note') AND chunk_id IS NOT NULL AND content IS NOT NULL),
+words AS (SELECT chunk_id, regexp_extract_all(lower({_SEEN}), '[\\p{{L}}\\p{{N}}]+') AS w FROM texts),
+triples AS (SELECT DISTINCT chunk_id, hash(w[i], w[i + 1], w[i + 2]) AS t FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 12)),
+sizes AS (SELECT chunk_id, count(*) AS n FROM triples GROUP BY 1),
+common AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM triples a JOIN triples b ON a.t = b.t AND a.chunk_id < b.chunk_id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM common JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE c >= 0.5 * (x.n + y.n - c)
+"""
+
+
 @query
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prose chunk with enough words, its group, class and number of links."""
