@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataforge.functions import ids, text
 from strataforge.operators import blocks, canonical, chunking, code, dense, eligibility, evaluation, fusion, goldmap, lexical, pipeline
 from strataforge.operators import catalogue as shelves
-from strataforge.session import shared_dir, table, tune
+from strataforge.session import keyed, shared_dir, spread, table, tune
 from strataforge.sources import discovery, urls
 from strataforge.streaming import ingest
 
@@ -83,7 +83,7 @@ def _form(expression: str) -> str:
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with one row per id: the last delivery."""
-    return shelves.latest(table(spark, sf_dir, "chunks"), "chunk_id", "ingested_at")
+    return shelves.latest(keyed(table(spark, sf_dir, "chunks"), "chunk_id"), "chunk_id", "ingested_at")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,12 +528,12 @@ def block_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.parse_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return blocks.parse_blocks(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 @query()
 def article_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = table(spark, sf_dir, "raw_articles").dropDuplicates(["source_uri"])
+    articles = keyed(table(spark, sf_dir, "raw_articles"), "source_uri").dropDuplicates(["source_uri"])
     return blocks.parse_blocks(articles, "source_uri", "content", "article")
 
 
@@ -556,12 +556,12 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 @query()
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(chunking.chunk_documents(table(spark, sf_dir, "documents"), "recursive", "doc_id"))
+    return _flat(chunking.chunk_documents(spread(table(spark, sf_dir, "documents")), "recursive", "doc_id"))
 
 
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(chunking.chunk_documents(table(spark, sf_dir, "documents").where("source_type = 'markdown'"), "markdown", "doc_id"))
+    return _flat(chunking.chunk_documents(spread(table(spark, sf_dir, "documents")).where("source_type = 'markdown'"), "markdown", "doc_id"))
 
 
 @query()
@@ -573,11 +573,11 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def article_chunks_built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(chunking.chunk_documents(table(spark, sf_dir, "raw_articles").dropDuplicates(["source_uri"]), "article", "source_uri", "content"))
+    return _flat(chunking.chunk_documents(keyed(table(spark, sf_dir, "raw_articles"), "source_uri").dropDuplicates(["source_uri"]), "article", "source_uri", "content"))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shelves.latest(table(spark, sf_dir, "code_files"), "file_id", "ingested_at")
+    return shelves.latest(keyed(table(spark, sf_dir, "code_files"), "file_id"), "file_id", "ingested_at")
 
 
 @query()
@@ -704,7 +704,7 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def published_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "raw_articles").dropDuplicates(["source_uri"])
+    rows = keyed(table(spark, sf_dir, "raw_articles"), "source_uri").dropDuplicates(["source_uri"])
     return rows.select("source_uri", "published_at", text.iso_timestamp(F.col("published_at")).alias("parsed"))
 
 

@@ -43,6 +43,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of files that has fewer partitions than there are cores, dealt out to all cores; any other scan unchanged.
+
+    For work that costs far more than its bytes (parsers, tokenizers) on small files. On large tables, whose scans have many
+    partitions, it does nothing. Only for plans without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """Partitioned by columns into as many partitions as the session shuffles into, and at least one a core.
+
+    For costly work after a grouping on the same columns: the grouping needs no further exchange, and partitions are not coalesced by their few bytes.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
 _OWN_DIR: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
