@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm import canon, handwritten, markup, mixing, neardup, packing, parsecheck, rankfusion, spans, split
-from strataforge.session import table, written
+from strataforge.session import keyed, spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,12 +23,12 @@ def query(function: Query) -> Query:
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "chunks").where(F.col("source_type").isin(*PROSE))
+    return spread(table(spark, sf_dir, "chunks").where(F.col("source_type").isin(*PROSE)))
 
 
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_kind, record_id, text) of documents and prose chunks."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.lit("document").alias("record_kind"), F.col("doc_id").cast("string").alias("record_id"), "text")
     return docs.unionByName(prose(spark, sf_dir).select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), F.col("content").alias("text")))
 
 
@@ -125,7 +125,7 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a common passage."""
-    pairs = spans.shared_pairs(table(spark, sf_dir, "documents"))
+    pairs = spans.shared_pairs(spread(table(spark, sf_dir, "documents")))
     return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
@@ -182,13 +182,13 @@ def _capacity(spark: SparkSession, sf_dir: str) -> int:
 @query
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document or piece of one with its container."""
-    return packing.containers(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+    return packing.containers(spread(table(spark, sf_dir, "documents")), _capacity(spark, sf_dir))
 
 
 @query
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and fill of the containers."""
-    packed = packing.containers(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir))
+    packed = packing.containers(spread(table(spark, sf_dir, "documents")), _capacity(spark, sf_dir))
     filled = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"))
     capacity = _capacity(spark, sf_dir)
     return filled.agg(F.count("*").alias("containers"), F.sum("segments").alias("segments"), F.max("tokens").alias("fullest"), F.round(F.avg("tokens") / capacity, 6).alias("mean_fill"))
@@ -201,21 +201,21 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture in order of (slot, place)."""
     weights = table(spark, sf_dir, "source_weights")
-    return mixing.mixture(mixing.sized_documents(table(spark, sf_dir, "documents"), weights), weights)
+    return mixing.mixture(mixing.sized_documents(spread(table(spark, sf_dir, "documents")), weights), weights)
 
 
 @query
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each listed source."""
     weights = table(spark, sf_dir, "source_weights")
-    return mixing.report(mixing.mixture(mixing.sized_documents(table(spark, sf_dir, "documents"), weights), weights), weights)
+    return mixing.report(mixing.mixture(mixing.sized_documents(spread(table(spark, sf_dir, "documents")), weights), weights), weights)
 
 
 # Problem 5
 
 
 def markup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = table(spark, sf_dir, "raw_articles").select(F.lit("article").alias("record_kind"), F.col("source_uri").alias("record_id"), F.col("content").alias("text"))
+    articles = spread(table(spark, sf_dir, "raw_articles")).select(F.lit("article").alias("record_kind"), F.col("source_uri").alias("record_id"), F.col("content").alias("text"))
     return articles.unionByName(text_records(spark, sf_dir))
 
 
@@ -235,7 +235,7 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsecheck.verdicts(parsecheck.newest(table(spark, sf_dir, "code_files")))
+    return parsecheck.verdicts(parsecheck.newest(keyed(table(spark, sf_dir, "code_files"), "file_id")))
 
 
 @query
@@ -272,7 +272,7 @@ def p4_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = written(parsecheck.newest(table(spark, sf_dir, "code_files")), "files")
+    files = written(parsecheck.newest(keyed(table(spark, sf_dir, "code_files"), "file_id")), "files")
     return handwritten.classify(files, table(spark, sf_dir, "repositories"))
 
 
@@ -291,7 +291,7 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code chunks whose file is not hand-written, by the document_id that names file and content."""
-    files = parsecheck.newest(table(spark, sf_dir, "code_files"))
+    files = parsecheck.newest(keyed(table(spark, sf_dir, "code_files"), "file_id"))
     code = table(spark, sf_dir, "code_files").where("file_id is not null").groupBy("file_id").agg(F.max("content_hash").alias("content_hash"))
     named = files.join(code, "file_id").select("file_id", F.sha2(F.concat(F.col("relative_path"), F.expr("char(0)"), F.col("content_hash")), 256).alias("document_id"))
     bad = p2_found(spark, sf_dir).join(named, "file_id").select("document_id").distinct()
