@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The token pattern, its separators and the camel-case boundary of the lexical index.
 TOKEN = r"[A-Za-z0-9]+(?:[._$:/@-][A-Za-z0-9]+)*"
-SEPARATORS = r"[._$:/@-]"
+SEPARATORS = r"[._$:/@-]"  # between the segments of a token
 CAMEL = r"([a-z0-9])([A-Z])"
 _MARK = "\u0001"
 
@@ -43,15 +43,16 @@ def compact_form(text: Column) -> Column:
 
 
 def lexical_tokens(text: Column) -> Column:
-    """Distinct lower-case tokens: each match, its segments between separators, and their camel-case parts."""
-    matches = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-    def parts(match: Column) -> Column:
-        segments = F.split(match, SEPARATORS)
-        camel = F.flatten(F.transform(segments, lambda s: F.split(F.regexp_replace(s, CAMEL, f"$1{_MARK}$2"), _MARK)))
-        return F.concat(F.array(match), segments, camel)
-
-    return F.coalesce(F.array_distinct(F.transform(F.flatten(F.transform(matches, parts)), F.lower)), F.array().cast("array<string>"))
+    """Distinct lower-case tokens: each match, its segments between separators, and their camel-case parts.
+
+    The segments of all matches are the runs of letters and digits of the text, so three passes of one pattern each do, without a step
+    per token.
+    """
+    runs = "[A-Za-z0-9]+"
+    camel = F.regexp_replace(text, CAMEL, f"$1{_MARK}$2")
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for t, p in ((text, TOKEN), (text, runs), (camel, runs))])
+    distinct = F.array_distinct(F.array_remove(F.split(F.lower(F.array_join(found, " ")), " "), ""))
+    return F.coalesce(distinct, F.array().cast("array<string>"))
 
 
 def token_fragments(text: Column, size: int = 8) -> Column:

@@ -55,12 +55,14 @@ def is_legal(flat: Column, parent: Column) -> Column:
 
 
 def is_index(content: Column) -> Column:
-    """Mostly short lines, most of them shaped like entries."""
-    filled = F.filter(F.transform(lines_of(F.coalesce(content, F.lit(""))), strip), lambda x: x != "")
+    """Mostly short lines, most of them shaped like entries. Lines are only looked at where there are enough of them."""
+    text = F.coalesce(content, F.lit(""))
+    filled = F.filter(F.transform(lines_of(text), strip), lambda x: x != "")
     n = F.size(filled)
-    short = F.size(F.filter(filled, lambda x: F.size(F.split(x, r"(?U)\s+")) <= INDEX_WORDS))
+    short = F.size(F.filter(filled, lambda x: F.regexp_count(x, F.lit(r"(?U)\s+")) < INDEX_WORDS))
     entries = F.size(F.filter(filled, lambda x: x.rlike(INDEX_ENTRY)))
-    return (n >= INDEX_LINES) & (short / n >= INDEX_SHORT) & (entries / n >= INDEX_ENTRIES)
+    shaped = (n >= INDEX_LINES) & (short / n >= INDEX_SHORT) & (entries / n >= INDEX_ENTRIES)
+    return F.when(F.regexp_count(text, F.lit(r"\R")) >= INDEX_LINES - 1, shaped).otherwise(False)
 
 
 def is_contents(content: Column, parent: Column) -> Column:
@@ -84,7 +86,10 @@ def has_structural_metadata(values: Column) -> Column:
 
 def inferred_role(content: Column, parent: Column, values: Column) -> Column:
     """The role of a chunk that has none: metadata, reference, navigation or null."""
-    lower, flat, above = F.lower(strip(F.coalesce(content, F.lit("")))), structural_form(content), structural_form(parent)
+    return _role(F.lower(strip(F.coalesce(content, F.lit("")))), structural_form(content), structural_form(parent), values)
+
+
+def _role(lower: Column, flat: Column, above: Column, values: Column) -> Column:
     contents = is_contents(lower, above)
     structural = has_structural_metadata(values) | contents
     navigation = above.isin("index", "contents", "table of contents") | contents
@@ -98,17 +103,21 @@ def structural_values(chunks: DataFrame) -> Column:
     return F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])
 
 
-def structural_status(chunks: DataFrame) -> Column:
-    """eligible, ineligible or unknown: by the role, else by the inferred one."""
+def with_status(chunks: DataFrame) -> DataFrame:
+    """Adds ``inferred`` (the role a chunk would have without its own) and ``status`` (eligible, ineligible or unknown: by the role, else by the inferred one).
+
+    The normalised forms are columns of their own, so each is computed once per row.
+    """
+    forms = {"_lower": F.lower(strip(F.coalesce("content", F.lit("")))), "_flat": structural_form(F.col("content")), "_above": structural_form(F.col("parent_structure")), "_values": structural_values(chunks)}
+    roles = chunks.withColumns(forms).withColumn("inferred", _role(F.col("_lower"), F.col("_flat"), F.col("_above"), F.col("_values")))
     own = metadata_form(F.col("content_role"))
-    inferred = inferred_role(F.col("content"), F.col("parent_structure"), structural_values(chunks))
-    by_inference = F.when(inferred.isin(*INFERRED_EXCLUDED), "ineligible").otherwise("unknown")
-    return F.when(own != "", policy(own)).otherwise(by_inference)
+    by_inference = F.when(F.col("inferred").isin(*INFERRED_EXCLUDED), "ineligible").otherwise("unknown")
+    return roles.withColumn("status", F.when(own != "", policy(own)).otherwise(by_inference)).drop(*forms)
 
 
 def structurally_eligible(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Ranked rows whose chunk is not ineligible. Ranks and scores stay as they are."""
-    bad = chunks.where(structural_status(chunks) == "ineligible").select("chunk_id").distinct()
+    bad = with_status(chunks).where("status = 'ineligible'").select("chunk_id").distinct()
     return ranked.join(bad, "chunk_id", "left_anti").select(*ranked.columns)
 
 

@@ -268,9 +268,7 @@ def contents_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def structural_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inferred role and the status of every chunk, as if it had no role."""
-    rows = _chunks(spark, sf_dir)
-    role = eligibility.inferred_role(F.col("content"), F.col("parent_structure"), eligibility.structural_values(rows))
-    return rows.select("chunk_id", role.alias("inferred"), eligibility.structural_status(rows).alias("status"))
+    return eligibility.with_status(_chunks(spark, sf_dir)).select("chunk_id", "inferred", "status")
 
 
 @query(f"""WITH {_LAST} SELECT chunk_id FROM last WHERE coalesce(lower(trim(language)), '') IN ('en', 'de') AND coalesce(lower(trim(source_type)), '') IN ('markdown', 'pdf')""")

@@ -100,7 +100,7 @@ def test_code_chunks_split_parents_into_children_and_leaves_exactly():
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("getUserName api.v2",)], "t string")
-    assert df.select(text.lexical_tokens(F.col("t")).alias("x")).first()["x"] == ["getusername", "get", "user", "name", "api.v2", "api", "v2"]
+    assert sorted(df.select(text.lexical_tokens(F.col("t")).alias("x")).first()["x"]) == sorted(["getusername", "get", "user", "name", "api.v2", "api", "v2"])
     assert df.select(text.preview(F.lit("a \n b " * 60)).alias("x")).first()["x"].endswith("...")
     fragments = df.select(text.token_fragments(F.lit(" ".join(f"w{i}" for i in range(20)))).alias("x")).first()["x"]
     assert [f.split()[0] for f in fragments] == ["w0", "w6", "w12"]
