@@ -18,7 +18,10 @@ class ChunksNotFound(LookupError):
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """One row per key, that of the highest version; ties take the smallest row in column order."""
+    """One row per key, that of the highest version; of several rows with that version one is kept. Rows without key are left out.
+
+    Select what is needed first: all columns given are carried along.
+    """
     others = [c for c in rows.columns if c not in (key, version)]
     packed = F.max_by(F.struct(*others), F.col(version)) if others else None
     out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(version).alias(version), *([packed.alias("_r")] if others else []))

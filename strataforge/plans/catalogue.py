@@ -81,9 +81,15 @@ def _form(expression: str) -> str:
 # Shared inputs
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with one row per id: the last delivery."""
-    return shelves.latest(keyed(table(spark, sf_dir, "chunks"), "chunk_id"), "chunk_id", "ingested_at")
+#: The columns that metadata filters read.
+_FILTERED = ["source_type", "project", "language", "content_role", "provenance"]
+
+
+def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Chunks with one row per id, the last delivery; with ``columns`` only those are read beside the id."""
+    rows = table(spark, sf_dir, "chunks")
+    rows = rows.select("chunk_id", *columns, "ingested_at") if columns else rows
+    return shelves.latest(keyed(rows, "chunk_id"), "chunk_id", "ingested_at")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,24 +268,24 @@ def index_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LAST} SELECT chunk_id, coalesce({_form('parent_structure')} IN ('contents', 'table of contents') OR {_form("string_split(trim(lower(content), chr(10) || chr(13) || chr(9) || ' '), chr(10))[1]")} IN ('contents', 'table of contents'), false) AS is_contents FROM last""")
 def contents_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     content, parent = F.lower(text.strip(F.coalesce("content", F.lit("")))), text.structural_form(F.col("parent_structure"))
-    return _chunks(spark, sf_dir).select("chunk_id", F.coalesce(eligibility.is_contents(content, parent), F.lit(False)).alias("is_contents"))
+    return _chunks(spark, sf_dir, "content", "parent_structure").select("chunk_id", F.coalesce(eligibility.is_contents(content, parent), F.lit(False)).alias("is_contents"))
 
 
 @query()
 def structural_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inferred role and the status of every chunk, as if it had no role."""
-    return eligibility.with_status(_chunks(spark, sf_dir)).select("chunk_id", "inferred", "status")
+    return eligibility.with_status(_chunks(spark, sf_dir, "content", "parent_structure", "structural_type", "content_role", "metadata", "provenance")).select("chunk_id", "inferred", "status")
 
 
 @query(f"""WITH {_LAST} SELECT chunk_id FROM last WHERE coalesce(lower(trim(language)), '') IN ('en', 'de') AND coalesce(lower(trim(source_type)), '') IN ('markdown', 'pdf')""")
 def metadata_filter_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir)
+    rows = _chunks(spark, sf_dir, *_FILTERED)
     return rows.where(eligibility.matches(rows, {"language": ["EN ", "de"], "source_type": ["markdown", "pdf"], "project": None})).select("chunk_id")
 
 
 @query(f"WITH {_LAST} SELECT chunk_id FROM last WHERE coalesce(lower(trim(project)), '') = ''")
 def metadata_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir)
+    rows = _chunks(spark, sf_dir, *_FILTERED)
     return rows.where(eligibility.matches(rows, {"project": [""]})).select("chunk_id")
 
 
@@ -289,7 +295,7 @@ def metadata_filter_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every list filtered by the source type that its question asks for."""
     filters = _questions(spark, sf_dir).select("query_id", F.when(F.col("source_type").isNotNull(), F.array("source_type")).alias("source_type"))
     known = _lists(spark, sf_dir).join(filters.select("query_id"), "query_id", "left_semi")
-    return eligibility.filter_per_query(known, _chunks(spark, sf_dir), filters).select("query_id", "channel", "chunk_id", "rank")
+    return eligibility.filter_per_query(known, _chunks(spark, sf_dir, *_FILTERED), filters).select("query_id", "channel", "chunk_id", "rank")
 
 
 @query(f"""WITH {_LISTS}, {_FUSED}, {_RRF}, {_LAST}, kept AS (SELECT r.query_id, count(*) AS n FROM rrf r JOIN last c ON r.chunk_id = c.chunk_id WHERE rank <= 20 AND coalesce(lower(trim(source_type)), '') = 'article' GROUP BY 1)
@@ -297,7 +303,7 @@ SELECT q.query_id, coalesce(n, 0) AS kept FROM (SELECT DISTINCT query_id FROM li
 def postfilter_underfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters work after the cut, so a list may hold fewer than it was cut to."""
     lists = _lists(spark, sf_dir)
-    stages = pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir), structural=False, metadata={"source_type": ["article"]})
+    stages = pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir, *_FILTERED), structural=False, metadata={"source_type": ["article"]})
     kept = stages["metadata"].groupBy("query_id").agg(F.count("*").alias("kept"))
     return lists.select("query_id").distinct().join(kept, "query_id", "left").select("query_id", F.coalesce("kept", F.lit(0)).alias("kept")).where("kept < 20")
 
@@ -314,7 +320,7 @@ SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM kept WHERE n <=
 def pipeline_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage without the structural filter: ranks keep their gaps."""
     lists = _lists(spark, sf_dir)
-    stages = pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir), structural=False, metadata={"source_type": ["markdown", "pdf", "article", "note"]})
+    stages = pipeline.run(lists.where("channel = 'dense'"), lists.where("channel = 'bm25'"), _chunks(spark, sf_dir, *_FILTERED), structural=False, metadata={"source_type": ["markdown", "pdf", "article", "note"]})
     return stages["final"].select("query_id", "chunk_id", "score", "rank")
 
 
@@ -385,7 +391,7 @@ def complementarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Gold mapping: the first sentence of each pdf chunk is the evidence, looked for among the chunks of its page.
 
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = _chunks(spark, sf_dir).where("provenance.page is not null")
+    rows = _chunks(spark, sf_dir, "document_id", "content", "provenance").where("provenance.page is not null")
     span = F.regexp_extract("content", r"^[^.!?\n]{20,200}[.!?]", 0)
     named = rows.select("chunk_id", "content", F.concat_ws("#", "document_id", F.col("provenance.page").cast("string")).alias("page"), span.alias("span"))
     return named.where("span <> ''").select(F.col("chunk_id").alias("evidence_id"), "page", "span"), named.select("chunk_id", "page", "content")
@@ -437,7 +443,7 @@ def anti_join_new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT chunk_id, epoch_us(max(ingested_at)) AS ingested_us FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1")
 def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("chunk_id", F.unix_micros("ingested_at").alias("ingested_us"))
+    return shelves.latest(table(spark, sf_dir, "chunks").select("chunk_id", "ingested_at"), "chunk_id", "ingested_at").select("chunk_id", F.unix_micros("ingested_at").alias("ingested_us"))
 
 
 @query("""SELECT chunk_id, source_type FROM (SELECT DISTINCT chunk_id, 'new' AS source_type FROM article_chunks WHERE chunk_id IS NOT NULL
@@ -635,7 +641,7 @@ def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def map_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata merged with the chunk's own fields, which win."""
-    rows = _chunks(spark, sf_dir)
+    rows = _chunks(spark, sf_dir, "metadata", "language", "location")
     own = F.map_filter(F.create_map(F.lit("language"), F.col("language"), F.lit("location"), F.col("location")), lambda _, v: v.isNotNull())
     merged = F.array_sort(F.map_entries(canonical.merged_metadata(F.col("metadata"), own)))
     return rows.select("chunk_id", F.array_join(F.transform(merged, lambda e: F.concat_ws("=", e["key"], e["value"])), "&").alias("metadata"))
