@@ -403,7 +403,13 @@ def gold_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goldmap.containing(evidence, chunks)
 
 
-@query()
+def _evidence_form(expression: str) -> str:
+    return "lower(" + _COLLAPSE.format(f"translate({expression}, '“”‘’–—', '\"\"''''--')") + ")"
+
+
+@query(f"""WITH {_LAST}, named AS (SELECT chunk_id, content, concat_ws('#', document_id, CAST(provenance.page AS VARCHAR)) AS page, regexp_extract(content, '^[^.!?\n]{{20,200}}[.!?]') AS span FROM last WHERE provenance.page IS NOT NULL),
+found AS (SELECT e.chunk_id AS evidence_id, count(*) AS n, min(c.chunk_id) AS one FROM named e JOIN named c ON e.page = c.page AND contains({_evidence_form('c.content')}, {_evidence_form('e.span')}) WHERE e.span <> '' GROUP BY 1)
+SELECT evidence_id, CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN one END AS chunk_id FROM found""")
 def gold_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence, chunks = _evidence(spark, sf_dir)
     return goldmap.classify(evidence, goldmap.containing(evidence, chunks))
