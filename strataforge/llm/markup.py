@@ -486,11 +486,13 @@ def content_nodes(nodes: list[tuple[str, str, str]], threshold: float = 0.1) ->
 
 
 def render(nodes: list[tuple[str, str, str]]) -> str:
-    """Plain text in one notation: ``# heading``, ``- item``, fenced code, ``$$formula$$``, ``a | b`` rows."""
+    """Plain text in one notation: ``# heading``, ``- item``, ``1. item``, fenced code, ``$$formula$$``, ``a | b`` rows."""
     out: list[str] = []
     cells: list[str] = []
     last = ""
-    for _, kind, text in nodes:
+    number = 0
+    for path, kind, text in nodes:
+        number = number + 1 if kind == "item" and path.endswith("/ol/li") else 0
         if kind == "cell":
             cells.append(text)
             continue
@@ -499,7 +501,7 @@ def render(nodes: list[tuple[str, str, str]]) -> str:
                 out.append(("\n" if last == "table" else "\n\n") + " | ".join(cells))
                 cells, last = [], "table"
             continue
-        block = {"item": f"- {text}", "code": f"```\n{text}\n```", "formula": f"$$\n{text}\n$$", "quote": f"> {text}"}.get(kind) or (f"{'#' * int(kind[7:])} {text}" if kind.startswith("heading") else text)
+        block = {"item": f"{number}. {text}" if number else f"- {text}", "code": f"```\n{text}\n```", "formula": f"$$\n{text}\n$$", "quote": f"> {text}"}.get(kind) or (f"{'#' * int(kind[7:])} {text}" if kind.startswith("heading") else text)
         out.append(("\n" if kind == last and kind in ("item", "table", "quote") else "\n\n") + block)
         last = kind
     if cells:

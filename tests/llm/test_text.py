@@ -139,6 +139,7 @@ def test_clean_text_keeps_structure():
     assert clean == "# Head\n\n- one\n- two\n\na | b\n1 | 2".replace("# Head", "## Head")
     clean, _ = markup.clean("\\section{Head}\n\n\\begin{itemize}\n\\item one\n\\item \\textbf{two}\n\\end{itemize}\n\n\\begin{equation}\nx^2\n\\end{equation}")
     assert "# Head" in clean and "- one" in clean and "- two" in clean and "$$\nx^2\n$$" in clean
+    assert markup.clean("1. one\n2. two\n\n<ol><li>x</li></ol>")[0] == "1. one\n2. two\n3. x"
     assert markup.clean(None) == (None, []) and markup.clean("") == ("", [])
 
 
