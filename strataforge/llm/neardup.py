@@ -248,7 +248,7 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
                 yield pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(rows["s"][cut]), pa.array(m[cut])], ["shard", "sig", "m"])
 
     packed = feats.select("sig", "n", "words").mapInArrow(pack, "part int, rows binary")
-    return packed.repartition(parts, "part").mapInArrow(meet, "shard bigint, sig bigint, m int")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "shard bigint, sig bigint, m int")
 
 
 class BKTree:
