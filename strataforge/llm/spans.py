@@ -98,7 +98,7 @@ def edges_of(data: np.ndarray, starts: np.ndarray, k: int, window: int) -> tuple
 
 
 def packed_edges(documents: DataFrame, ident: str, text: str, parts: int, k: int, window: int) -> DataFrame:
-    """(part, rows): kept edges packed as binary (hash, document, position) by hash range.
+    """(part, rows): kept edges packed as binary (hash, document, position) by hash.
 
     Packing keeps the exchange at a few wide rows instead of one row per edge. A hash occurs once per document.
     """
@@ -109,8 +109,9 @@ def packed_edges(documents: DataFrame, ident: str, text: str, parts: int, k: int
         def flush() -> pa.RecordBatch:
             rows = np.concatenate(hold)
             hold.clear()
-            rows = rows[np.argsort(rows["h"], kind="stable")]
-            cuts = np.searchsorted(rows["h"], (np.arange(1, parts, dtype=object) * (2**64 // parts)).astype(np.uint64))
+            part = rows["h"] % np.uint64(parts)  # kept hashes are minima, so only their low digits are spread evenly
+            order = np.argsort(part, kind="stable")
+            rows, cuts = rows[order], np.searchsorted(part[order], np.arange(1, parts))
             blobs = [b.tobytes() for b in np.split(rows, cuts)]
             keep = [i for i, b in enumerate(blobs) if b]
             return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blobs[i] for i in keep], pa.binary())], ["part", "rows"])
@@ -176,7 +177,7 @@ def repeated_edges(documents: DataFrame, ident: str = "doc_id", text: str = "tex
                 out = rows[start : start + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(out["h"].view(np.int64)), pa.array(out["d"]), pa.array(out["p"])], ["edge", "doc", "pos"])
 
-    return packed.repartition(parts, "part").mapInArrow(run, "edge bigint, doc bigint, pos int")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, "edge bigint, doc bigint, pos int")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
