@@ -6,14 +6,15 @@ distance at similarity s is 128 * (1 - s). A BK-tree (children keyed by the inte
 their parent; a search follows only the edges within the radius) finds the members of a shard within the radius.
 
 One tree of a whole corpus cannot be broadcast, and at a similarity of 0.5 the radius (64 plus 5.5 standard
-deviations) leaves few edges out, so the shards are cut first: texts that similar have runs of words in common, and each run of
-``RUN`` words is a shard with trees of its own, sent to a task by its hash. What the trees find is verified by the exact
+deviations) leaves few edges out, so the shards are cut first: texts that similar have triples in common, and each triple
+is a shard with trees of its own, sent to a task by its hash. What the trees find is verified by the exact
 similarity.
 
-Why a run is always shared: let n be the triples of the larger text. A similarity of t leaves at least 2tn / (1 + t) triples
-common, and every edit of words breaks at least two neighbouring triples, so the common ones lie in at most (1 - t)n / 2(1 + t) + 1
-stretches, each of which has three runs of six words less than triples. That makes at least (5t / (1 + t) - 1.5)n - 3 common runs, one of which is among
-the rarest of each text when that number less one of its most frequent runs is left out.
+Why a kept triple is always shared: a similarity of t to any other text leaves at least ceil(tn) of a text's n distinct triples
+common. Both texts order their triples alike, the rarest first, and leave out the last ceil(tn) - 1 of their own. The first
+common triple has all the other common ones behind it, at least ceil(tn) - 1, so neither text leaves it out. Where words or
+phrases recur does not matter, nor does the length of the text. Two texts of n and m triples have ceil(t(n + m) / (1 + t)) common
+ones, so in the shard of their first common triple each has as many left from there on; a member without such a partner is left out.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from strataforge.session import written
 THRESHOLD = 0.5
 LEAST_WORDS = 12
 BITS = 256
-#: Words of a run.
-RUN = 6
+#: Words of a shingle.
+SIZE = 3
 #: Cells of the frequency sketch; its broadcast has one byte per cell, whatever the corpus.
 CELLS = 1 << 22
 _WORD = re.compile(r"[^\W_]+")
@@ -68,7 +69,7 @@ def word_arrays(texts: list[str], least_words: int = LEAST_WORDS) -> tuple[np.nd
     index, counts = [], [0]
     for i, text in enumerate(texts):
         words = words_of(text)
-        if len(words) < max(least_words, RUN):
+        if len(words) < max(least_words, SIZE):
             continue
         for word in words:
             h = known.get(word)
@@ -112,7 +113,7 @@ def sketches(starts: np.ndarray, values: np.ndarray, bits: int = BITS) -> list[b
     return [row.tobytes() for row in np.packbits(out, axis=0).T]
 
 
-def features(records: DataFrame, least_words: int = LEAST_WORDS, size: int = 3) -> DataFrame:
+def features(records: DataFrame, least_words: int = LEAST_WORDS, size: int = SIZE) -> DataFrame:
     """(record_id, text) to (record_id, sig, n, words, sketch); sig names the set of n distinct shingles.
 
     Null ids and texts and texts with fewer words than ``least_words`` are left out.
@@ -136,7 +137,7 @@ def features(records: DataFrame, least_words: int = LEAST_WORDS, size: int = 3)
 
 
 def frequency_sketch(feats: DataFrame) -> np.ndarray:
-    """Counts of all runs by hash cell, as one byte each on a log scale: ``CELLS`` bytes for any corpus.
+    """Counts of all triples by hash cell, as one byte each on a log scale: ``CELLS`` bytes for any corpus.
 
     Each task adds its rows up before one small binary row per task is merged by range of cells.
     """
@@ -147,8 +148,8 @@ def frequency_sketch(feats: DataFrame) -> np.ndarray:
         cells = np.zeros(CELLS, np.int32)
         for batch in batches:
             for at in range(0, len(batch), 2000):
-                _, runs = shingle_sets(*unpack(batch.column(0).slice(at, 2000).to_pylist()), RUN)
-                cells += np.bincount((runs >> np.uint64(64 - 22)).astype(np.int64), minlength=CELLS).astype(np.int32)
+                _, triples = shingle_sets(*unpack(batch.column(0).slice(at, 2000).to_pylist()), SIZE)
+                cells += np.bincount((triples >> np.uint64(64 - 22)).astype(np.int64), minlength=CELLS).astype(np.int32)
         if cells.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges), pa.int32()), pa.array([cells[i * width : (i + 1) * width].tobytes() for i in range(ranges)], pa.binary())], ["part", "cells"])
 
@@ -169,18 +170,42 @@ def frequency_sketch(feats: DataFrame) -> np.ndarray:
     return out
 
 
-ROW = np.dtype([("t", np.uint32), ("s", np.int64), ("n", np.uint16)])
+#: t and part name the triple; left is the share of the text's triples from this one on, in 255ths, rounded up.
+ROW = np.dtype([("t", np.uint32), ("s", np.int64), ("n", np.uint16), ("left", np.uint8)])
+#: Sizes from here on are not told apart; such a text fits any other.
+WIDEST = 65535
+#: In shards with more members, all are kept.
+COMPARED = 256
+
+
+def paired(rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the rows, ordered by t and n, have a partner in their shard that can reach the threshold."""
+    size = rows["n"].astype(float)
+    left = np.ceil(rows["left"] * size / 255 - 1e-9)
+    out = np.zeros(len(rows), bool)
+    first = np.arange(len(rows))
+    for step in range(1, COMPARED + 1):
+        first = first[: np.searchsorted(first, len(rows) - step)]
+        first = first[rows["t"][first] == rows["t"][first + step]]
+        if not len(first):
+            return out
+        other = first + step
+        least = np.ceil(threshold / (1 + threshold) * (size[first] + size[other]) - 1e-9)
+        fits = (size[first] >= threshold * size[other] - 1e-9) & (np.minimum(left[first], left[other]) >= least)
+        fits |= size[other] == WIDEST
+        out[first[fits]] = out[other[fits]] = True
+    _, which, m = np.unique(rows["t"], return_inverse=True, return_counts=True)
+    return out | (m > COMPARED)[which.reshape(-1)]
 
 
 def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int) -> DataFrame:
-    """(shard, sig, m): members of every shard of m >= 2 classes; a shard is a run of words.
+    """(shard, sig, m): members of every shard of m >= 2 classes; a shard is a triple of words.
 
-    A member whose size fits no other of its shard is left out, since no pair of it can reach the threshold.
+    A member whose size or place of the triple fits no other of its shard is left out, since no pair of it can reach the threshold.
 
-    Of each text the most frequent runs by (estimated count, hash), an order common to all, are left out, as many as the
+    Of each text the most frequent triples by (estimated count, hash), an order common to all, are left out, as many as the
     threshold lets be without losing a pair (see above).
     """
-    spare = 5 * threshold / (1 + threshold) - 1.5
     spark = feats.sparkSession
     shared = spark.sparkContext.broadcast(frequency)
 
@@ -193,10 +218,11 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
             value = np.concatenate([h[0] for h in hold])
             sig = np.concatenate([h[1] for h in hold])
             size = np.concatenate([h[2] for h in hold])
+            left = np.concatenate([h[3] for h in hold])
             hold.clear()
             part = value % np.uint64(parts)
             rows = np.empty(len(value), ROW)
-            rows["t"], rows["s"], rows["n"] = value >> np.uint64(32), sig, size
+            rows["t"], rows["s"], rows["n"], rows["left"] = value >> np.uint64(32), sig, size, left
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(1, parts))
             blobs = [np.unique(b).tobytes() for b in np.split(rows[order], cuts)]
@@ -206,14 +232,16 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
         for batch in batches:
             sigs, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first in range(0, len(batch), 2000):
-                starts, values = shingle_sets(*unpack(batch.column(2).slice(first, 2000).to_pylist()), RUN)
+                starts, values = shingle_sets(*unpack(batch.column(2).slice(first, 2000).to_pylist()), SIZE)
                 sizes = np.diff(starts)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((values, order_of[values >> np.uint64(64 - 22)], owner))
-                common = np.ceil(spare * counts[first : first + 2000] - 3).astype(np.int64)
+                common = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
                 rank = np.arange(len(values)) - starts[:-1][owner]
-                kept = order[rank < (sizes - np.maximum(common - 1, 0))[owner]]
-                hold.append((values[kept], sigs[first + owner[kept]], np.minimum(counts[first + owner[kept]], 65535).astype(np.uint16)))
+                few = rank < (sizes - np.maximum(common - 1, 0))[owner]
+                kept = order[few]
+                left = np.ceil(255 * (1 - rank / sizes[owner]) - 1e-9)[few].astype(np.uint8)
+                hold.append((values[kept], sigs[first + owner[kept]], np.minimum(counts[first + owner[kept]], WIDEST).astype(np.uint16), left))
                 held += len(kept)
                 if held > 1_000_000:
                     yield flush()
@@ -228,18 +256,12 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
                 blobs.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), ROW))
         for part in sorted(blobs):
             rows = np.concatenate(blobs.pop(part))
-            order = np.lexsort((rows["s"], rows["n"], rows["t"]))
+            order = np.lexsort((255 - rows["left"], rows["s"], rows["n"], rows["t"]))
             rows = rows[order]
             fresh = np.ones(len(rows), bool)
             fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1])
             rows = rows[fresh]
-            for _ in range(2):  # by size within a shard, a member needs a neighbour that is near enough in size
-                size = rows["n"].astype(float)
-                near = (rows["t"][1:] == rows["t"][:-1]) & ((size[:-1] >= threshold * size[1:] - 1e-9) | (size[1:] == 65535))
-                many = np.zeros(len(rows), bool)
-                many[1:] |= near
-                many[:-1] |= near
-                rows = rows[many]
+            rows = rows[paired(rows, threshold)]
             _, which, m = np.unique(rows["t"], return_inverse=True, return_counts=True)
             m = m[which.reshape(-1)].astype(np.int32)
             shard = rows["t"].astype(np.int64) * parts + part
@@ -348,7 +370,7 @@ def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
-                (start_a, a), (start_b, b) = (shingle_sets(*unpack(batch.column(k).to_pylist()), 3) for k in (2, 3))
+                (start_a, a), (start_b, b) = (shingle_sets(*unpack(batch.column(k).to_pylist()), SIZE) for k in (2, 3))
                 similarity = []
                 for i in range(len(batch)):
                     joint = np.concatenate([a[start_a[i] : start_a[i + 1]], b[start_b[i] : start_b[i + 1]]])

@@ -117,6 +117,29 @@ def test_similar_pairs_of_nothing(spark):
     assert neardup.groups(df.where("false")).count() == 0
 
 
+def recurring(rows_, last):
+    return " ".join(f"of a{i} b{i} in the {last}" for i in range(rows_))
+
+
+SENTENCES = ["red cats chase small mice", "old dogs sleep all day", "two birds sing at dawn"]
+
+
+@pytest.mark.parametrize(
+    "pair",
+    [
+        (recurring(10, "foo"), recurring(10, "bar")),
+        (recurring(100, "foo"), recurring(100, "bar")),
+        (" ".join(SENTENCES), " ".join(SENTENCES[::-1])),
+    ],
+    ids=["10 rows", "100 rows", "sentences"],
+)
+def test_similar_pairs_without_a_common_run_of_six_words(spark, rows, pair):
+    data = [(name, text) for name, text in zip("ab", pair, strict=True)]
+    runs, triples = ([set(zip(*(t.split()[k:] for k in range(n)), strict=False)) for t in pair] for n in (6, 3))
+    assert not runs[0] & runs[1] and len(triples[0] & triples[1]) >= 0.5 * len(triples[0] | triples[1])
+    assert rows(neardup.similar_pairs(spark.createDataFrame(data, "record_id string, text string"))) == [("a", "b")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "sig_a long, sig_b long")
     vertices = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "sig long")
