@@ -209,7 +209,8 @@ def candidate_pairs(paths: DataFrame) -> DataFrame:
 def shared_spans(a: str, b: str, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Maximal (start_a, start_b, length) spans of at least ``least`` equal code points, found by hash and compared as text.
 
-    Of the spans that begin at one place of ``a`` the longest is given.
+    The spans cover every code point of either text that lies in a shared passage, also where a passage stands
+    more than once; not every combination of its places is given.
     """
     if len(a) < least or len(b) < least:
         return []
@@ -217,6 +218,14 @@ def shared_spans(a: str, b: str, least: int = LEAST) -> list[tuple[int, int, int
         return [(0, 0, len(a))]
     codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)]
     hashes = [kmer_hashes(_mix(c.astype(np.uint64) + np.uint64(1)), least) for c in codes]
+    spans, repeated = _spans_from(a, b, codes, hashes, least)
+    if repeated:  # else each window of b has one place, which the windows of a have met
+        spans += [(j, i, n) for i, j, n in _spans_from(b, a, codes[::-1], hashes[::-1], least)[0]]
+    return sorted(set(spans))
+
+
+def _spans_from(a: str, b: str, codes: list[np.ndarray], hashes: list[np.ndarray], least: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """Spans that cover all shared passages of ``a``, each with its first place in ``b``; whether ``b`` repeats a window."""
     at_b, where_b = np.unique(hashes[1], return_index=True)
     slot = np.searchsorted(at_b, hashes[0])
     slot[slot == len(at_b)] = 0
@@ -234,7 +243,7 @@ def shared_spans(a: str, b: str, least: int = LEAST) -> list[tuple[int, int, int
         n = n + int(different[0]) if len(different) else rest
         if not out or i + n > out[-1][0] + out[-1][2] or i < out[-1][0]:
             out.append((i, j, n))
-    return out
+    return out, len(at_b) < len(hashes[1])
 
 
 def verified(pairs: DataFrame, documents: DataFrame, ident: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:

@@ -249,6 +249,28 @@ def test_coverage(spark):
     assert spans.coverage(df.where("false")).count() == 0
 
 
+def test_coverage_of_a_passage_that_stands_twice(spark):
+    r = random.Random(11)
+    make = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, other = make(300), make(120)
+    twice = passage + other + passage
+    for texts in ((passage, twice), (twice, passage)):
+        df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+        got = {r["doc_id"]: r["shared_chars"] for r in spans.coverage(df).collect()}
+        assert got == {i: 600 if t == twice else 300 for i, t in enumerate(texts, 1)}
+
+
+def test_spans_cover_both_texts_as_brute_force_does():
+    r = random.Random(12)
+    for _ in range(200):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(8, 60))) for _ in range(2))
+        found = spans.shared_spans(a, b, 8)
+        assert all(n >= 8 and a[i : i + n] == b[j : j + n] for i, j, n in found)
+        for x, y, side in ((a, b, 0), (b, a, 1)):
+            want = {k + m for k in range(len(x) - 7) if x[k : k + 8] in y for m in range(8)}
+            assert {s[side] + m for s in found for m in range(s[2])} == want
+
+
 def test_kept_edges_depend_on_their_document_alone():
     r = random.Random(2)
     a, b = ("".join(r.choice("abcdef ") for _ in range(400)).encode() for _ in range(2))
