@@ -73,7 +73,7 @@ _VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim)\}")
 _FORMULA_ENV = re.compile(r"\\begin\{(equation|align|gather|displaymath|math|eqnarray|multline)(\*?)\}")
 _EMBED = re.compile(r"%\[([^\]\n]*)\]")
 #: Without one of these no kind of markup can be present.
-_ANY = re.compile(r"[<&`\\$*~|>{\[]|''|^\s{0,3}(?:#|[-+:;] ?\S|=|\d+[.)] )|_\S|^ ", re.M)
+_ANY = re.compile(r"[<&`\\$*~|>{\[]|''|^[^\S\n]*(?:#|[-+:;][^\S\n]*\S|=|\d+[.)]\s)|_\S|^ ", re.M)
 
 
 @dataclass

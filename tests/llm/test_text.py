@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -132,6 +133,24 @@ def test_kinds_of_markup(text, kinds):
     assert markup.parse(text).kinds() == kinds
 
 
+@pytest.mark.parametrize("line", ["- item", "-   item", "-\titem", "+  item", "*  item", "1.  item", "1.\titem", "2)\titem", ":   text", ";\ttext", "\t\t\t\t== head ==", "## head", "> quote", "~~~", "=====", "-----"])
+def test_short_cut_of_plain_text_lets_all_markup_through(line, monkeypatch):
+    text = f"Intro\n\nfirst\n{line}\nlast"
+    got = markup.parse(text)
+    monkeypatch.setattr(markup, "_ANY", re.compile(""))
+    want = markup.parse(text)
+    assert got.nodes == want.nodes and got.kinds() == want.kinds() != []
+
+
+def test_short_cut_of_plain_text_changes_nothing(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b c", "\n", "\n\n", " ", "\t", "-", "+", ":", ";", "1.", "2)", "=", "#", "_"]) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    got = [markup.clean(t) for t in texts]
+    monkeypatch.setattr(markup, "_ANY", re.compile(""))
+    assert [g[1] for g in got] == [markup.clean(t)[1] for t in texts]
+    assert markup.clean("Intro\n\n-  one\n-  two")[0] == "Intro\n\n- one\n- two"
+
+
 def test_clean_text_keeps_structure():
     clean, _ = markup.clean("<h1>Head</h1><p>Some <b>bold</b> text, with &amp; more.</p><ul><li>one</li><li>two</li></ul><pre>x &lt; 1</pre>")
     assert clean == "# Head\n\nSome bold text, with & more.\n\n- one\n- two\n\n```\nx < 1\n```"
