@@ -47,7 +47,7 @@ _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _SPAN = re.compile(r"(?<!`)(`+)(?!`)([^\n]*?[^`\n])\1(?!`)")
 _MATH = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
-_DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]{0,200}?[^\s$\\])\$(?![\w$])")
+_DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]*?[^\s$\\])\$(?![\w$])")
 _COMMAND = re.compile(r"\\([A-Za-z]+)\*?((?:\[[^\]\n]*\])?)(\{)?")
 _ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}((?:\{[^}\n]*\}|\[[^\]\n]*\])*)")
 _WIKILINK = re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
@@ -156,9 +156,7 @@ def _inline(text: str, record: Record) -> str:
             text = _COMMAND.sub(command, text)
             text = re.sub(r"\x02(cite|ref|label|pageref|eqref|includegraphics|vspace|hspace)\x03[^{}]*\}", "", text)
             text = re.sub(r"\x02footnote\x03([^{}]*)\}", r" (\1)", text)
-            for _ in range(8):
-                if "\x04" not in text:
-                    break
+            while "\x04" in text:
                 text, n = re.subn(r"\x04([^{}\x04]*)\}", r"\1", text)
                 if not n:
                     break
@@ -167,29 +165,25 @@ def _inline(text: str, record: Record) -> str:
         text = re.sub(r"\\([_&%#${}])", r"\1", text)
         text = re.sub(r"(?<=\w)~(?=\s|\x00|\w|$)", " ", text)
     if "{{" in text:
-        for _ in range(3):
+        n = 1
+        while n:
             text, n = _TEMPLATE.subn(lambda m: seen("wiki", m[1].split("|", 1)[1] if m[1].startswith("quote|") else ""), text)
-            if not n:
-                break
     if "[" in text:
         text = _WIKILINK.sub(lambda m: seen("wiki", m[2] or m[1]) if re.search(r"[^\W\d_]", m[1]) and m[1][0] not in "\"'" else m[0], text)
         text = _EXTERNAL.sub(lambda m: seen("wiki", m[2]), text)
         text = _EMBED.sub(lambda m: m[1], text)
-        for _ in range(2):
+        n = 1
+        while n:
             text, n = _LINK.subn(lambda m: seen("markdown", m[2]), text)
-            if not n:
-                break
     if "''" in text:
-        for _ in range(2):
+        n = 1
+        while n:
             text, n = _QUOTES.subn(lambda m: seen("wiki", m[2]), text)
-            if not n:
-                break
     if "*" in text or "_" in text:
-        for _ in range(2):
+        n = k = 1
+        while n + k:
             text, n = _STRONG.subn(lambda m: seen("markdown", m[2] or m[4]), text)
             text, k = _EM.subn(lambda m: seen("markdown", m[1] or m[2]), text)
-            if not n + k:
-                break
     if "~~" in text:
         text = _STRIKE.sub(lambda m: seen("markdown", m[1]), text)
     if "&" in text:

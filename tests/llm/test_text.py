@@ -142,6 +142,21 @@ def test_short_cut_of_plain_text_lets_all_markup_through(line, monkeypatch):
     assert got.nodes == want.nodes and got.kinds() == want.kinds() != []
 
 
+def test_long_formulas_and_deep_nesting_are_whole():
+    formula = "$" + " + ".join(f"x_{i}" for i in range(80)) + "$"
+    assert markup.clean(f"Sum {formula} here.") == (f"Sum {formula} here.", ["latex"])
+    braces = "core"
+    for _ in range(12):
+        braces = "\\textbf{" + braces + " x}"
+    assert markup.clean(braces)[0] == "core" + " x" * 12
+    template = "{{a}}"
+    for _ in range(6):
+        template = "{{b|" + template + "}}"
+    assert markup.clean(f"in {template}out") == ("in out", ["wiki"])
+    assert markup.clean("[a [b [c [d](u)](v)](w)](x)")[0] == "a b c d"
+    assert markup.clean("_a *b _c *d* e_ f* g_")[0] == "a b c d e f g"
+
+
 def test_short_cut_of_plain_text_changes_nothing(monkeypatch):
     r = random.Random(6)
     texts = ["".join(r.choice(["a", "b c", "\n", "\n\n", " ", "\t", "-", "+", ":", ";", "1.", "2)", "=", "#", "_"]) for _ in range(r.randint(1, 12))) for _ in range(3000)]
