@@ -30,7 +30,7 @@ TREES = 80
 DEPTH = 8
 THRESHOLD = 0.5
 SIMILARITY = 0.8
-#: Lines at the top that may name a library.
+#: Lines below the leading comment that may name a library, as all of the comment may.
 HEAD_LINES = 8
 
 _NOTICE = re.compile(
@@ -173,6 +173,13 @@ def bands(values: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(least[i * _ROWS : (i + 1) * _ROWS].tobytes(), seed=i) - 2**63 for i in range(_BANDS)]
 
 
+def naming_words(text: str) -> str:
+    """The distinct words of the leading comment and the first lines of the body, one a line."""
+    head, body = split_head(text)
+    lines = body.split("\n", HEAD_LINES)[:HEAD_LINES]
+    return "\n".join(dict.fromkeys(re.findall(r"[A-Za-z0-9_.\-]+", "\n".join([head, *lines]))))
+
+
 def described(files: DataFrame) -> DataFrame:
     """(file_id, repository, relative_path, content) to one row per file with features, label (notice) and head."""
 
@@ -181,7 +188,7 @@ def described(files: DataFrame) -> DataFrame:
             texts = batch.column(3).to_pylist()
             values = [features(t) for t in texts]
             notice = [has_notice(t) or bool(_PATH_MARK.search(p)) or is_bulk(t) for t, p in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            head = ["\n".join(t.split("\n", HEAD_LINES)[:HEAD_LINES])[:2000] for t in texts]
+            head = [naming_words(t) for t in texts]
             empty = [not t.strip() for t in texts]
             arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(head), pa.array(notice), pa.array(empty), pa.array(values, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["file_id", "repository", "relative_path", "head", "notice", "empty", "x"])
@@ -230,7 +237,7 @@ def library_names(repositories: DataFrame) -> DataFrame:
 
 
 def copies(files: DataFrame, rows: DataFrame, repositories: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(file_id, library): files that name another listed repository in path or first lines and equal or resemble one of its files.
+    """(file_id, library): files that name another listed repository in path, leading comment or first lines and equal or resemble one of its files.
 
     Only the files that name a library and the libraries' own files are compared, by min-hash bands within the library; the exact
     similarity of five-word shingles decides. Equal files of a library count once.

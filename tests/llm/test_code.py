@@ -110,6 +110,15 @@ def test_classify(spark):
     assert all(got[i]["handwritten"] for i in (300, 302, 303, 400)) and 401 not in got
 
 
+def test_copy_whose_library_stands_below_a_long_licence(spark, rows):
+    licence = "".join(f"# Clause {i} of the licence says what may be done with this file and {'what may not ' * 12}.\n" for i in range(15))
+    library = "\n".join(source(700 + i) for i in range(12))
+    data = [(1, "o/lib", "core/a.py", "python", licence + library), (2, "o/r2", "src/a.py", "python", licence + "# From lib 1.2, see upstream.\n" + library), (3, "o/r2", "src/b.py", "python", licence + library)]
+    df = files(spark, data)
+    repositories = spark.createDataFrame([("o", "lib"), ("o", "r2")], "owner string, name string")
+    assert rows(handwritten.copies(df, handwritten.described(df), repositories)) == [(2, "lib")]
+
+
 def test_classify_without_labels(spark):
     df = files(spark, [(1, "o/a", "a.py", "python", "x = 1")])
     repositories = spark.createDataFrame([("o", "a")], "owner string, name string")
