@@ -5,16 +5,15 @@ copies never meet each other again. A class has a sketch of 256 one-bit min-hash
 distance at similarity s is 128 * (1 - s). A BK-tree (children keyed by the integer Hamming distance to
 their parent; a search follows only the edges within the radius) finds the members of a shard within the radius.
 
-One tree of a whole corpus cannot be broadcast, and at a similarity of 0.5 the radius (64 plus 5.5 standard
-deviations) leaves few edges out, so the shards are cut first: texts that similar have triples in common, and each triple
-is a shard with trees of its own, sent to a task by its hash. What the trees find is verified by the exact
-similarity.
-
-Why a kept triple is always shared: a similarity of t to any other text leaves at least ceil(tn) of a text's n distinct triples
-common. Both texts order their triples alike, the rarest first, and leave out the last ceil(tn) - 1 of their own. The first
-common triple has all the other common ones behind it, at least ceil(tn) - 1, so neither text leaves it out. Where words or
-phrases recur does not matter, nor does the length of the text. Two texts of n and m triples have ceil(t(n + m) / (1 + t)) common
-ones, so in the shard of their first common triple each has as many left from there on; a member without such a partner is left out.
+One tree of a whole corpus cannot be broadcast, and at a similarity of 0.5 the radius (64 plus 5.5 standard deviations) is wider
+than the spread of distances between unrelated texts, so a tree of unrelated texts leaves no edge out. Therefore each class has a
+shard of its own: the tree's root is the class, the other nodes are the classes with which it has enough rare triples in common. The search
+from the root then never enters a subtree whose edge exceeds the radius. What the trees find is verified by the exact similarity.
+
+Why no similar pair misses its shard: two texts of n and m triples with a similarity of t have at least c = ceil(t(n + m) / (1 + t)) and each at least
+ceil(tn) triples common. Both order their triples alike, the rarest first, and leave out the last ceil(tn) - ``COMMON`` of their own. The j-th
+common triple has c - j common ones behind it, so the first min(``COMMON``, c) common triples are kept by both texts, with at least c - ``COMMON`` + 1
+triples from there on. A pair that meets at fewer such places is no candidate. Where words or phrases recur does not matter, nor does the length.
 """
 
 from __future__ import annotations
@@ -38,8 +37,15 @@ LEAST_WORDS = 12
 BITS = 256
 #: Words of a shingle.
 SIZE = 3
-#: Cells of the frequency sketch; its broadcast has one byte per cell, whatever the corpus.
+#: Cells of the frequency sketch; its broadcast has three bytes per cell, whatever the corpus.
 CELLS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
+#: Rare triples that a candidate pair must have in common.
+COMMON = 3
+#: Texts of one triple that meet in one place; a more frequent triple is cut into pairs of blocks.
+MEET = 20_000
+#: Bytes of packed rows that one task receives.
+PART_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.random.default_rng(7).integers(1, 2**63 - 1, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -136,12 +142,13 @@ def features(records: DataFrame, least_words: int = LEAST_WORDS, size: int = SIZ
     return source.mapInArrow(run, "record_id string, sig bigint, n int, words binary, sketch binary")
 
 
-def frequency_sketch(feats: DataFrame) -> np.ndarray:
-    """Counts of all triples by hash cell, as one byte each on a log scale: ``CELLS`` bytes for any corpus.
+def frequency_sketch(feats: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(order, blocks, total): counts of all triples by hash cell, on a log scale in one byte each; the blocks into which the
+    triples of a cell are cut (1 unless the cell exceeds the mean by more than ``MEET``); and the number of all triples.
 
-    Each task adds its rows up before one small binary row per task is merged by range of cells.
+    Each task adds its rows up before one binary row per range of cells, in the narrowest type that holds its counts, is merged.
     """
-    ranges = 64
+    ranges = 1 << max(3, min(9, _parts(feats.sparkSession).bit_length() - 1))
     width = CELLS // ranges
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,85 +156,134 @@ def frequency_sketch(feats: DataFrame) -> np.ndarray:
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 _, triples = shingle_sets(*unpack(batch.column(0).slice(at, 2000).to_pylist()), SIZE)
-                cells += np.bincount((triples >> np.uint64(64 - 22)).astype(np.int64), minlength=CELLS).astype(np.int32)
+                cells += np.bincount((triples >> _SHIFT).astype(np.int64), minlength=CELLS).astype(np.int32)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges), pa.int32()), pa.array([cells[i * width : (i + 1) * width].tobytes() for i in range(ranges)], pa.binary())], ["part", "cells"])
+            parts = [cells[i * width : (i + 1) * width] for i in range(ranges)]
+            packed = [p.astype(np.uint8 if p.max() < 256 else np.uint16 if p.max() < 65536 else np.int32).tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges), pa.int32()), pa.array(packed, pa.binary())], ["part", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        types = {width: np.uint8, 2 * width: np.uint16, 4 * width: np.int32}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = blob.as_buffer()
                 total = sums.setdefault(part, np.zeros(width, np.int64))
-                total += np.frombuffer(blob.as_buffer(), np.int32)
+                total += np.frombuffer(raw, types[raw.size])
         for part, total in sums.items():
             logs = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([logs.tobytes()], pa.binary())], ["part", "cells"])
+            load = total.sum() / width
+            excess = np.maximum(0, total - load - 6 * np.sqrt(load))
+            blocks = np.clip(np.ceil(excess / MEET), 1, 65535).astype(np.uint16)
+            row = [[part], [logs.tobytes()], [blocks.tobytes()], [int(total.sum())]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["part", "cells", "blocks", "total"])
+
+    order, blocks, triples = np.zeros(CELLS, np.uint8), np.ones(CELLS, np.uint16), 0
+    merged = feats.select("words").mapInArrow(count, "part int, cells binary").repartitionById(ranges, F.col("part")).mapInArrow(merge, "part int, cells binary, blocks binary, total bigint")
+    for part, logs, cut, total in merged.collect():  # three bytes per cell in all
+        order[part * width : (part + 1) * width] = np.frombuffer(bytes(logs), np.uint8)
+        blocks[part * width : (part + 1) * width] = np.frombuffer(bytes(cut), np.uint16)
+        triples += total
+    return order, blocks, triples
+
+
+#: t and part name the triple; left is the share of the text's triples from this one on, in 255ths, rounded up; side tells the two
+#: blocks of a frequent triple apart (0: not cut, or one block with itself).
+ROW = np.dtype([("t", np.uint32), ("s", np.int64), ("n", np.uint16), ("left", np.uint8), ("side", np.uint8)])
+#: A pair of classes and the number of common triples that it still lacks to be a candidate (counted down below zero).
+PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("need", np.uint8), ("have", np.uint8)])
+#: Sizes from here on are not told apart; such a text fits any other.
+WIDEST = 65535
 
-    out = np.zeros(CELLS, np.uint8)
-    merged = feats.select("words").mapInArrow(count, "part int, cells binary").repartition(8, "part").mapInArrow(merge, "part int, cells binary")
-    for part, blob in merged.collect():  # CELLS bytes in all
-        out[part * width : (part + 1) * width] = np.frombuffer(bytes(blob), np.uint8)
-    return out
 
+def packed_rows(rows: np.ndarray, part: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, rows): records as one binary per part, which keeps an exchange at a few wide rows."""
+    order = np.argsort(part, kind="stable")
+    blobs = [b.tobytes() for b in np.split(rows[order], np.searchsorted(part[order], np.arange(1, parts)))]
+    keep = [i for i, b in enumerate(blobs) if b]
+    return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blobs[i] for i in keep], pa.binary())], ["part", "rows"])
 
-#: t and part name the triple; left is the share of the text's triples from this one on, in 255ths, rounded up.
-ROW = np.dtype([("t", np.uint32), ("s", np.int64), ("n", np.uint16), ("left", np.uint8)])
-#: Sizes from here on are not told apart; such a text fits any other.
-WIDEST = 65535
-#: In shards with more members, all are kept.
-COMPARED = 256
 
+def unpacked_parts(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
+    """The records of each part that ``packed_rows`` made; a part is bounded by ``PART_BYTES`` on average."""
+    blobs: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            blobs.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), dtype))
+    for part in sorted(blobs):
+        yield part, np.concatenate(blobs.pop(part))
 
-def paired(rows: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the rows, ordered by t and n, have a partner in their shard that can reach the threshold."""
-    size = rows["n"].astype(float)
-    left = np.ceil(rows["left"] * size / 255 - 1e-9)
-    out = np.zeros(len(rows), bool)
+
+def _first_of(rows: np.ndarray, *names: str) -> np.ndarray:
+    """Whether a sorted record differs from the one before it in any of the fields."""
+    fresh = np.ones(len(rows), bool)
+    if len(rows):
+        fresh[1:] = np.logical_or.reduce([rows[n][1:] != rows[n][:-1] for n in names])
+    return fresh
+
+
+def meetings(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """``PAIR`` records of the rows that stand in one place and can reach the threshold by size and by place; rows are ordered by t and n."""
+    size = rows["n"].astype(np.int64)
+    left = np.ceil(rows["left"] * (size / 255) - 1e-9)
     first = np.arange(len(rows))
-    for step in range(1, COMPARED + 1):
+    step = 0
+    while True:
+        step += 1
         first = first[: np.searchsorted(first, len(rows) - step)]
-        first = first[rows["t"][first] == rows["t"][first + step]]
+        first = first[(rows["t"][first] == rows["t"][first + step]) & ((size[first] >= threshold * size[first + step] - 1e-9) | (size[first + step] == WIDEST))]
         if not len(first):
-            return out
+            return
         other = first + step
         least = np.ceil(threshold / (1 + threshold) * (size[first] + size[other]) - 1e-9)
-        fits = (size[first] >= threshold * size[other] - 1e-9) & (np.minimum(left[first], left[other]) >= least)
-        fits |= size[other] == WIDEST
-        out[first[fits]] = out[other[fits]] = True
-    _, which, m = np.unique(rows["t"], return_inverse=True, return_counts=True)
-    return out | (m > COMPARED)[which.reshape(-1)]
-
+        fits = (np.minimum(left[first], left[other]) >= least - COMMON + 1) | (size[other] == WIDEST)
+        fits &= (rows["side"][first] == 0) | (rows["side"][first] != rows["side"][other])
+        a, b = rows["s"][first[fits]], rows["s"][other[fits]]
+        out = np.empty(len(a), PAIR)
+        out["a"], out["b"], out["have"] = np.minimum(a, b), np.maximum(a, b), 1
+        out["need"] = np.minimum(COMMON, least[fits])
+        yield out
+
+
+def counted(pairs: np.ndarray) -> np.ndarray:
+    """Equal pairs as one record, their common triples added up (to 255 at most)."""
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    at = np.flatnonzero(_first_of(pairs, "a", "b"))
+    if not len(at):
+        return pairs
+    out = pairs[at]
+    out["have"] = np.minimum(255, np.add.reduceat(pairs["have"].astype(np.int64), at))
+    return out
 
-def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int) -> DataFrame:
-    """(shard, sig, m): members of every shard of m >= 2 classes; a shard is a triple of words.
 
-    A member whose size or place of the triple fits no other of its shard is left out, since no pair of it can reach the threshold.
+def candidates(feats: DataFrame, frequency: tuple[np.ndarray, np.ndarray, int], threshold: float, parts: int) -> DataFrame:
+    """(sig_a, sig_b) of the classes with at least ``COMMON`` of their rare triples in common (or all that they must have, if fewer).
 
     Of each text the most frequent triples by (estimated count, hash), an order common to all, are left out, as many as the
-    threshold lets be without losing a pair (see above).
+    threshold lets be without losing a pair (see above). Two exchanges: by triple, and by pair.
     """
-    spark = feats.sparkSession
-    shared = spark.sparkContext.broadcast(frequency)
+    order_of_cell, blocks_of_cell, total = frequency
+    shared = feats.sparkSession.sparkContext.broadcast((order_of_cell, blocks_of_cell))
+    parts = max(parts, -(-total * ROW.itemsize // (2 * PART_BYTES)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_of = shared.value
+        order_of, blocks_of = shared.value
         hold: list[np.ndarray] = []
+        parts_of: list[np.ndarray] = []
         held = 0
 
+        def add(value: np.ndarray, sig: np.ndarray, size: np.ndarray, left: np.ndarray, side: np.ndarray | int) -> int:
+            rows = np.empty(len(value), ROW)
+            rows["t"], rows["s"], rows["n"], rows["left"], rows["side"] = value >> np.uint64(32), sig, size, left, side
+            hold.append(rows)
+            parts_of.append((value % np.uint64(parts)).astype(np.int64))
+            return len(rows)
+
         def flush() -> pa.RecordBatch:
-            value = np.concatenate([h[0] for h in hold])
-            sig = np.concatenate([h[1] for h in hold])
-            size = np.concatenate([h[2] for h in hold])
-            left = np.concatenate([h[3] for h in hold])
+            out = packed_rows(np.concatenate(hold), np.concatenate(parts_of), parts)
             hold.clear()
-            part = value % np.uint64(parts)
-            rows = np.empty(len(value), ROW)
-            rows["t"], rows["s"], rows["n"], rows["left"] = value >> np.uint64(32), sig, size, left
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(1, parts))
-            blobs = [np.unique(b).tobytes() for b in np.split(rows[order], cuts)]
-            keep = [i for i, b in enumerate(blobs) if b]
-            return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blobs[i] for i in keep], pa.binary())], ["part", "rows"])
+            parts_of.clear()
+            return out
 
         for batch in batches:
             sigs, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -235,14 +291,22 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
                 starts, values = shingle_sets(*unpack(batch.column(2).slice(first, 2000).to_pylist()), SIZE)
                 sizes = np.diff(starts)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, order_of[values >> np.uint64(64 - 22)], owner))
+                order = np.lexsort((values, order_of[values >> _SHIFT], owner))
                 common = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
                 rank = np.arange(len(values)) - starts[:-1][owner]
-                few = rank < (sizes - np.maximum(common - 1, 0))[owner]
+                few = rank < (sizes - np.maximum(common - COMMON, 0))[owner]
                 kept = order[few]
                 left = np.ceil(255 * (1 - rank / sizes[owner]) - 1e-9)[few].astype(np.uint8)
-                hold.append((values[kept], sigs[first + owner[kept]], np.minimum(counts[first + owner[kept]], WIDEST).astype(np.uint16), left))
-                held += len(kept)
+                value, of = values[kept], first + owner[kept]
+                sig, size = sigs[of], np.minimum(counts[of], WIDEST).astype(np.uint16)
+                blocks = blocks_of[value >> _SHIFT].astype(np.int64)
+                whole = blocks == 1
+                held += add(value[whole], sig[whole], size[whole], left[whole], 0)
+                for i in np.flatnonzero(~whole):  # a frequent triple: the text's block meets every block once
+                    others = np.arange(blocks[i])
+                    own = int(np.uint64(sig[i] & np.int64(2**63 - 1)) % np.uint64(blocks[i]))
+                    place = _mix(value[i] + (np.minimum(others, own) * blocks[i] + np.maximum(others, own) + 1).astype(np.uint64) * _B)
+                    held += add(place, np.full(len(others), sig[i]), np.full(len(others), size[i]), np.full(len(others), left[i]), np.where(others == own, 0, np.where(own < others, 1, 2)))
                 if held > 1_000_000:
                     yield flush()
                     held = 0
@@ -250,27 +314,36 @@ def shards(feats: DataFrame, frequency: np.ndarray, threshold: float, parts: int
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blobs.setdefault(part, []).append(np.frombuffer(blob.as_buffer(), ROW))
-        for part in sorted(blobs):
-            rows = np.concatenate(blobs.pop(part))
-            order = np.lexsort((255 - rows["left"], rows["s"], rows["n"], rows["t"]))
-            rows = rows[order]
-            fresh = np.ones(len(rows), bool)
-            fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1])
-            rows = rows[fresh]
-            rows = rows[paired(rows, threshold)]
-            _, which, m = np.unique(rows["t"], return_inverse=True, return_counts=True)
-            m = m[which.reshape(-1)].astype(np.int32)
-            shard = rows["t"].astype(np.int64) * parts + part
-            for at in range(0, len(rows), 1 << 16):
-                cut = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(rows["s"][cut]), pa.array(m[cut])], ["shard", "sig", "m"])
-
-    packed = feats.select("sig", "n", "words").mapInArrow(pack, "part int, rows binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "shard bigint, sig bigint, m int")
+        hold: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            pairs = counted(np.concatenate(hold))
+            hold.clear()
+            return packed_rows(pairs, (_mix(pairs["a"].view(np.uint64) * _A + pairs["b"].view(np.uint64) * _B) % np.uint64(parts)).astype(np.int64), parts)
+
+        for _, rows in unpacked_parts(batches, ROW):
+            rows = rows[np.lexsort((255 - rows["left"], rows["s"], rows["n"], rows["t"]))]
+            rows = rows[_first_of(rows, "t", "s")]
+            for pairs in meetings(rows, threshold):
+                hold.append(pairs)
+                held += len(pairs)
+                if held > 2_000_000:
+                    yield flush()
+                    held = 0
+        if hold:
+            yield flush()
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pairs in unpacked_parts(batches, PAIR):
+            pairs = counted(pairs)
+            pairs = pairs[pairs["have"] >= pairs["need"]]
+            for at in range(0, len(pairs), 1 << 16):
+                cut = pairs[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(cut["a"]), pa.array(cut["b"])], ["sig_a", "sig_b"])
+
+    packed = feats.select("sig", "n", "words").mapInArrow(pack, "part int, rows binary").repartitionById(parts, F.col("part"))
+    return packed.mapInArrow(meet, "part int, rows binary").repartitionById(parts, F.col("part")).mapInArrow(enough, "sig_a bigint, sig_b bigint")
 
 
 class BKTree:
@@ -309,62 +382,64 @@ class BKTree:
         return found
 
 
-def tree_pairs(members: DataFrame, reach: int, threshold: float) -> DataFrame:
-    """(shard, sig, m, n, sketch) to distinct (sig_a, sig_b) within the radius.
+#: Nodes of one tree; a class with more candidates has several trees, each with the class as root.
+TREE = 512
 
-    A shard of more than ``BLOCK`` members is cut into blocks with a tree each, which the other blocks query; a
-    task sees two blocks at a time.
+
+def tree_pairs(pairs: DataFrame, sketches_of: DataFrame, reach: int, threshold: float) -> DataFrame:
+    """(sig_a, sig_b) of the candidates within the radius, found in the BK-tree whose root is sig_a.
+
+    The rows of a class lie together after the join; where a hot class is split over tasks, each has a tree with the same root.
     """
-    base = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = base.select("shard", "sig", "n", "sketch", "block", other)
-    keyed = spread.select("shard", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sig", "n", "sketch")
-
-    def search(rows: list[tuple]) -> set[tuple[int, int]]:
-        tree, out = BKTree(), set()
-        x, y = rows[0][1], rows[0][2]
-        for _, _, _, block, sig, n, sketch in rows:
-            value = int.from_bytes(sketch, "big")
-            if x == y or block == y:
-                for other_sig, other_n in tree.within(value, reach):
-                    if min(n, other_n) >= threshold * max(n, other_n) - 1e-9 and other_sig != sig:
-                        out.add((sig, other_sig) if sig < other_sig else (other_sig, sig))
-            if block == x:
-                tree.insert(value, (sig, n))
-        return out
+    side_a = sketches_of.select(F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    side_b = sketches_of.select(F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    joined = pairs.join(side_b, "sig_b").join(side_a, "sig_a").select("sig_a", "n_a", "sketch_a", "sig_b", "n_b", "sketch_b")
+
+    def search(rows: list[tuple]) -> list[int]:
+        sig, n, sketch = rows[0][:3]
+        root, tree = int.from_bytes(sketch, "big"), BKTree()
+        tree.insert(root, (sig, n))
+        for _, _, _, other, m, value in rows:
+            tree.insert(int.from_bytes(value, "big"), (other, m))
+        return [other for other, m in tree.within(root, reach) if other != sig and min(n, m) >= threshold * max(n, m) - 1e-9]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, list[int]]] = []
 
         def emit() -> pa.RecordBatch:
-            rows = sorted(found)
+            a = [sig for sig, others in found for _ in others]
+            b = [other for _, others in found for other in others]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["sig_a", "sig_b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["sig_a", "sig_b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pending and pending[0][:3] != row[:3]:
-                    if len(pending) > 1:
-                        found |= search(pending)
+                if pending and (pending[0][0] != row[0] or len(pending) >= TREE):
+                    found.append((pending[0][0], search(pending)))
                     pending = []
                 pending.append(row)
-            if len(found) > 100_000:
+            if len(found) > 10_000:
                 yield emit()
-        if len(pending) > 1:
-            found |= search(pending)
+        if pending:
+            found.append((pending[0][0], search(pending)))
         if found:
             yield emit()
 
-    ordered = keyed.repartition("shard", "x", "y").sortWithinPartitions("shard", "x", "y", "block", "sig")
-    return ordered.mapInArrow(run, "sig_a bigint, sig_b bigint").distinct()
+    return joined.sortWithinPartitions("sig_a").mapInArrow(run, "sig_a bigint, sig_b bigint")
 
 
 def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
-    """(sig_a, sig_b, similarity) of the pairs whose exact similarity reaches the threshold."""
-    involved = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    sets = feats.select("sig", "words").join(involved, "sig", "left_semi").groupBy("sig").agg(F.first("words").alias("words"))
-    joined = pairs.join(sets.select(F.col("sig").alias("sig_a"), F.col("words").alias("wa")), "sig_a").join(sets.select(F.col("sig").alias("sig_b"), F.col("words").alias("wb")), "sig_b")
+    """(sig_a, sig_b, similarity) of the pairs whose exact similarity reaches the threshold.
+
+    The words of the class with more partners are sent once, those of the other with each pair.
+    """
+    degree = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("d"))
+    sided = pairs.join(degree.select(F.col("sig").alias("sig_a"), F.col("d").alias("da")), "sig_a").join(degree.select(F.col("sig").alias("sig_b"), F.col("d").alias("db")), "sig_b")
+    hub = F.col("da") >= F.col("db")
+    turned = sided.select(F.when(hub, F.col("sig_a")).otherwise(F.col("sig_b")).alias("hub"), F.when(hub, F.col("sig_b")).otherwise(F.col("sig_a")).alias("spoke"))
+    sets = feats.select("sig", "words").join(degree, "sig", "left_semi").dropDuplicates(["sig"])
+    joined = turned.join(sets.select(F.col("sig").alias("spoke"), F.col("words").alias("ws")), "spoke").join(sets.select(F.col("sig").alias("hub"), F.col("words").alias("wh")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -380,7 +455,8 @@ def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, pa.float64())], ["sig_a", "sig_b", "similarity"])
                 yield out.filter(pa.array([s >= threshold for s in similarity], pa.bool_()))
 
-    return joined.select("sig_a", "sig_b", "wa", "wb").mapInArrow(run, "sig_a bigint, sig_b bigint, similarity double")
+    ordered = joined.select(F.least("hub", "spoke").alias("sig_a"), F.greatest("hub", "spoke").alias("sig_b"), "wh", "ws")
+    return ordered.mapInArrow(run, "sig_a bigint, sig_b bigint, similarity double")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -391,9 +467,9 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, least_word
     """(membership, links): (record_id, sig, n) of every record with enough words, and (sig_a, sig_b, similarity) between
     different classes. A repeated record counts once; an empty table gives two empty results."""
     feats = written(features(records, least_words), "features")
-    members = written(shards(feats, frequency_sketch(feats), threshold, _parts(records.sparkSession)), "shards")
-    small = feats.select("sig", "n", "sketch").distinct()
-    found = written(tree_pairs(members.join(small, "sig").select("shard", "sig", "m", "n", "sketch"), radius(threshold), threshold), "bk")
+    pairs = written(candidates(feats, frequency_sketch(feats), threshold, _parts(records.sparkSession)), "candidates")
+    small = feats.select("sig", "n", "sketch").dropDuplicates(["sig"])
+    found = written(tree_pairs(pairs, small, radius(threshold), threshold), "bk")
     return feats.select("record_id", "sig", "n").distinct(), written(verified(found, feats, threshold), "links")
 
 
@@ -402,21 +478,26 @@ def similar_pairs(records: DataFrame, threshold: float = THRESHOLD, least_words:
     membership, links = similar_classes(records, threshold, least_words)
     classes = membership.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
     copies = pairs_within(membership.join(classes, "sig"), ["sig"], "record_id", "members").select("record_id_a", "record_id_b")
-    left = membership.select(F.col("sig").alias("sig_a"), F.col("record_id").alias("l"))
-    right = membership.select(F.col("sig").alias("sig_b"), F.col("record_id").alias("r"))
-    crossed = links.select("sig_a", "sig_b").join(left, "sig_a").join(right, "sig_b").where("l <> r")
+    # A class of many copies is cut into blocks, so that no key of the joins holds more than a block of them.
+    blocks = membership.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = membership.join(blocks, "sig").select("sig", "record_id", F.pmod(F.xxhash64("record_id"), "blocks").cast("int").alias("block"))
+    sided = links.select("sig_a", "sig_b").join(blocks.select(F.col("sig").alias("sig_a"), F.col("blocks").alias("na")), "sig_a").join(blocks.select(F.col("sig").alias("sig_b"), F.col("blocks").alias("nb")), "sig_b")
+    sided = sided.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    left = placed.select(F.col("sig").alias("sig_a"), F.col("block").alias("block_a"), F.col("record_id").alias("l"))
+    right = placed.select(F.col("sig").alias("sig_b"), F.col("block").alias("block_b"), F.col("record_id").alias("r"))
+    crossed = sided.select("sig_a", "sig_b", "block_a", "block_b").join(left, ["sig_a", "block_a"]).join(right, ["sig_b", "block_b"]).where("l <> r")
     crossed = crossed.select(F.least("l", "r").alias("record_id_a"), F.greatest("l", "r").alias("record_id_b"))
     return copies.unionByName(crossed).distinct()
 
 
-def components(vertices: DataFrame, links: DataFrame, most: int = 50) -> DataFrame:
+def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(sig, group): connected components by hooking to the least neighbour and pointer jumping.
 
     Every round is written to the shared folder and halves the depth of the label trees; rounds stop when no label changes.
     """
     edges = written(links.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")).unionByName(links.select(F.col("sig_b").alias("a"), F.col("sig_a").alias("b"))), "both")
     labels = written(edges.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("m")).select("sig", F.least("sig", "m").alias("group")), "labels")
-    for _ in range(most):
+    while True:
         near = edges.join(labels, edges.b == labels.sig).groupBy("a").agg(F.min("group").alias("near"))
         hooked = labels.join(near, labels.sig == near.a, "left").select("sig", "group", F.least("group", F.coalesce("near", "group")).alias("low"))
         # The label's own vertex also takes the lower label, so whole trees move at once.

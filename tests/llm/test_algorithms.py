@@ -147,12 +147,61 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in range(41)} == {0} and got[101] == 100 and got[200] == 200
 
 
-def test_large_shard_is_searched_in_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+def near_copies(count):
     base = [f"w{i}" for i in range(30)]
-    data = [(f"r{i}", " ".join([*base, f"x{i}", f"y{i}"])) for i in range(14)]
+    return [(f"r{i}", " ".join([*base, f"x{i}", f"y{i}"])) for i in range(count)]
+
+
+def test_a_triple_of_many_texts_is_cut_into_blocks(spark, rows, monkeypatch):
+    frequency = neardup.frequency_sketch
+    monkeypatch.setattr(neardup, "TREE", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+
+    def cut(feats):
+        order, blocks, total = frequency(feats)
+        return order, np.where(order > 8, 3, blocks).astype(np.uint16), total
+
+    monkeypatch.setattr(neardup, "frequency_sketch", cut)
+    data = near_copies(14)
+    data += [(f"copy{i}", data[0][1]) for i in range(9)]
     got = rows(neardup.similar_pairs(spark.createDataFrame(data, "record_id string, text string")))
-    assert len(got) == 14 * 13 // 2
+    assert len(got) == 23 * 22 // 2
+
+
+def test_frequent_triples_are_told_from_the_load_of_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEET", 10)
+    feats = neardup.features(spark.createDataFrame(near_copies(64), "record_id string, text string"))
+    _, blocks, total = neardup.frequency_sketch(feats)
+    assert total == 64 * 30 and sorted(set(blocks.tolist())) == [1, 7] and (blocks > 1).sum() == 28
+
+
+def test_trees_skip_what_lies_beyond_the_radius(spark):
+    tree, visited = neardup.BKTree(), []
+    r = random.Random(6)
+    root = r.getrandbits(256)
+    tree.insert(root, "root")
+    for i in range(300):
+        tree.insert(r.getrandbits(256), i)
+
+    class Seen(int):
+        def __xor__(self, other):
+            visited.append(other)
+            return int(self) ^ int(other)
+
+    assert tree.within(Seen(root), neardup.radius(0.5)) == ["root"] and len(visited) < 10
+
+
+def test_recall_on_repeated_words(spark, rows):
+    r = random.Random(8)
+    data = []
+    for i in range(60):
+        words = [r.choice(["to", "be", "or", "not", "that"]) for _ in range(r.randint(12, 40))]
+        data.append((f"a{i:02d}", " ".join(words)))
+        words[r.randrange(len(words))] = "is"
+        data.append((f"b{i:02d}", " ".join(words)))
+    sets = {i: (w := t.split()) and set(zip(w, w[1:], w[2:], strict=False)) for i, t in data}
+    want = sorted(tuple(sorted(p)) for p in combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) >= 0.5 * len(sets[p[0]] | sets[p[1]]))
+    assert rows(neardup.similar_pairs(spark.createDataFrame(data, "record_id string, text string"))) == want
 
 
 # Problem 8
