@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -382,6 +383,37 @@ class BKTree:
         return found
 
 
+#: Bits of the map that says which classes may be needed; 8 MB for any corpus. A full map only lets more rows through to an exact join.
+MAP_BITS = 1 << 26
+
+
+def bit_map(sigs: DataFrame) -> np.ndarray:
+    """A bit map of ``MAP_BITS`` bits of the column ``sig``, built by partial aggregation on the executors."""
+    low = F.col("sig").bitwiseAND(F.lit(MAP_BITS - 1)) + 1
+    parts = sigs.select(low.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for bucket, bits in parts.collect():  # at most MAP_BITS bits
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
+def marked(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows whose sig has its bit set: all that are in the map, and few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def known(sigs: pd.Series) -> pd.Series:
+        low = sigs.to_numpy() & (MAP_BITS - 1)
+        return pd.Series((shared.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.where(known("sig"))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(sig): both ends of every pair."""
+    return pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig"))
+
+
 #: Nodes of one tree; a class with more candidates has several trees, each with the class as root.
 TREE = 512
 
@@ -434,11 +466,11 @@ def verified(pairs: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
 
     The words of the class with more partners are sent once, those of the other with each pair.
     """
-    degree = pairs.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("d"))
+    degree = ends(pairs).groupBy("sig").agg(F.count("*").alias("d"))
     sided = pairs.join(degree.select(F.col("sig").alias("sig_a"), F.col("d").alias("da")), "sig_a").join(degree.select(F.col("sig").alias("sig_b"), F.col("d").alias("db")), "sig_b")
     hub = F.col("da") >= F.col("db")
     turned = sided.select(F.when(hub, F.col("sig_a")).otherwise(F.col("sig_b")).alias("hub"), F.when(hub, F.col("sig_b")).otherwise(F.col("sig_a")).alias("spoke"))
-    sets = feats.select("sig", "words").join(degree, "sig", "left_semi").dropDuplicates(["sig"])
+    sets = marked(feats.select("sig", "words"), bit_map(degree)).join(degree, "sig", "left_semi").dropDuplicates(["sig"])
     joined = turned.join(sets.select(F.col("sig").alias("spoke"), F.col("words").alias("ws")), "spoke").join(sets.select(F.col("sig").alias("hub"), F.col("words").alias("wh")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,7 +500,7 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, least_word
     different classes. A repeated record counts once; an empty table gives two empty results."""
     feats = written(features(records, least_words), "features")
     pairs = written(candidates(feats, frequency_sketch(feats), threshold, _parts(records.sparkSession)), "candidates")
-    small = feats.select("sig", "n", "sketch").dropDuplicates(["sig"])
+    small = marked(feats.select("sig", "n", "sketch"), bit_map(ends(pairs))).dropDuplicates(["sig"])
     found = written(tree_pairs(pairs, small, radius(threshold), threshold), "bk")
     return feats.select("record_id", "sig", "n").distinct(), written(verified(found, feats, threshold), "links")
 
@@ -476,7 +508,8 @@ def similar_classes(records: DataFrame, threshold: float = THRESHOLD, least_word
 def similar_pairs(records: DataFrame, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
     """(record_id_a, record_id_b): all pairs of different records with the similarity or more, copies expanded."""
     membership, links = similar_classes(records, threshold, least_words)
-    classes = membership.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
+    classes = written(membership.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1"), "classes")
+    membership = written(marked(membership, bit_map(ends(links).unionByName(classes.select("sig")))), "members")  # the others are in no pair
     copies = pairs_within(membership.join(classes, "sig"), ["sig"], "record_id", "members").select("record_id_a", "record_id_b")
     # A class of many copies is cut into blocks, so that no key of the joins holds more than a block of them.
     blocks = membership.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -518,7 +551,7 @@ def groups(records: DataFrame, threshold: float = THRESHOLD, least_words: int =
     """
     membership, links = similar_classes(records, threshold, least_words)
     joined = components(membership, links)
-    degree = links.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+    degree = ends(links).groupBy("sig").agg(F.count("*").alias("links"))
     copies = membership.groupBy("sig").agg(F.count("*").alias("copies"))
     out = membership.join(joined, "sig").join(degree, "sig", "left").join(copies, "sig")
     return out.select("record_id", F.col("group").alias("group_id"), F.col("sig").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), "copies")
