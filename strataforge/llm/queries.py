@@ -125,7 +125,7 @@ def p6_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a common passage."""
-    pairs = spans.shared_pairs(spread(table(spark, sf_dir, "documents")))
+    pairs = spans.shared_pairs(table(spark, sf_dir, "documents"))
     return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
@@ -142,6 +142,18 @@ def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.coverage(table(spark, sf_dir, "documents"))
 
 
+SQL["p10_coverage"] = """
+WITH docs AS (SELECT DISTINCT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents),
+grams AS (SELECT doc_id, i, hash(substring(text, CAST(i AS BIGINT), 200)) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM docs WHERE length(text) >= 200)),
+many AS (SELECT g FROM grams GROUP BY 1 HAVING count(DISTINCT doc_id) > 1), kept AS (SELECT doc_id, i, g FROM grams SEMI JOIN many USING (g)),
+stretched AS (SELECT doc_id, least(200, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 200)) AS n FROM kept),
+covered AS (SELECT doc_id, sum(n) AS n FROM stretched GROUP BY 1), places AS (SELECT DISTINCT doc_id, g FROM kept),
+linked AS (SELECT a.doc_id, count(DISTINCT b.doc_id) AS partners FROM places a JOIN places b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1)
+SELECT d.doc_id, class_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS shared_chars, round(CASE WHEN length(text) > 0 THEN coalesce(c.n, 0) / length(text) ELSE 0.0 END, 6) AS share, copies, coalesce(partners, 0) AS partners
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN linked l ON d.doc_id = l.doc_id
+"""
+
+
 # Problem 7
 
 

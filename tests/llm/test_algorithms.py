@@ -309,15 +309,30 @@ def test_coverage_of_a_passage_that_stands_twice(spark):
         assert got == {i: 600 if t == twice else 300 for i, t in enumerate(texts, 1)}
 
 
-def test_spans_cover_both_texts_as_brute_force_does():
+@pytest.mark.parametrize("often", [64, 0], ids=["plain keys", "finer keys"])
+def test_coverage_equals_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(spans, "COMMON_PATH", often)
     r = random.Random(12)
-    for _ in range(200):
-        a, b = ("".join(r.choice("ab") for _ in range(r.randint(8, 60))) for _ in range(2))
-        found = spans.shared_spans(a, b, 8)
-        assert all(n >= 8 and a[i : i + n] == b[j : j + n] for i, j, n in found)
-        for x, y, side in ((a, b, 0), (b, a, 1)):
-            want = {k + m for k in range(len(x) - 7) if x[k : k + 8] in y for m in range(8)}
-            assert {s[side] + m for s in found for m in range(s[2])} == want
+    make = lambda n: "".join(r.choice("abcdefg ü🧭\n") for _ in range(n))
+    passages = [make(n) for n in (198, 200, 203, 260, 420)] + ["-" * 230, "ab" * 120, "-" * 80]
+    texts = []
+    for _ in range(30):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            p = r.choice(passages)
+            low = r.choice([0, 0, 0, 5, 60])
+            parts += [make(r.randint(0, 90)), p[low : r.choice([len(p), len(p), 205])]]
+        texts.append("".join(parts))
+    texts += [texts[0], texts[0], passages[3], passages[3][:210] + make(50) + passages[3]]
+    windows = [{t[i : i + 200] for i in range(len(t) - 199)} for t in texts]
+    want = {}
+    for i, t in enumerate(texts):
+        others = set().union(*(w for j, w in enumerate(windows) if j != i))
+        marks = {k + m for k in range(len(t) - 199) if t[k : k + 200] in others for m in range(200)}
+        want[i] = (len(t), len(marks), sum(bool(windows[i] & w) for j, w in enumerate(windows) if j != i))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_chars"], x["shared_chars"], x["partners"]) for x in spans.coverage(df).collect()}
+    assert got == want
 
 
 def test_kept_edges_depend_on_their_document_alone():
