@@ -44,16 +44,39 @@ def test_ranks_ties_nulls_and_repeats(spark):
     assert rankfusion.leaders(rankfusion.fuse(ranked(spark, data).where("false"))).count() == 0
 
 
-def test_rank_transform_in_buckets_equals_plain_ranking(spark):
+@pytest.mark.parametrize("hot", [10, 100_000])
+def test_rank_transform_by_ranges_equals_plain_ranking(spark, hot):
     r = random.Random(3)
     data = [("hot", "bm25", f"c{i}", float(r.randint(0, 300)), None, 0) for i in range(900)]
-    got = {x["chunk_id"]: x["value"] for x in rankfusion.rank_transform(ranked(spark, data)).collect()}
+    got = {x["chunk_id"]: x["value"] for x in rankfusion.rank_transform(ranked(spark, data), hot=hot).collect()}
     scores = np.array([d[3] for d in data])
     for d in data:
         better, equal = (scores > d[3]).sum(), (scores == d[3]).sum()
         assert got[d[2]] == pytest.approx((900 - (better + 1 + (equal - 1) / 2) + 1) / 900)
 
 
+def test_order_by_ranges(spark):
+    r = random.Random(4)
+    data = [("big", f"c{i:04d}", float(r.randint(0, 9))) for i in range(500)] + [("small", "c1", 0.1), ("small", "c2", 0.2)]
+    df = spark.createDataFrame(data, "query_id string, chunk_id string, projection double")
+    plain, ranged = ({(x["query_id"], x["chunk_id"]): x["position"] for x in rankfusion.order(df, hot).collect()} for hot in (1000, 20))
+    assert plain == ranged and plain["small", "c2"] == 1 and sorted(v for k, v in plain.items() if k[0] == "big") == list(range(1, 501))
+
+
+def test_principal_component_equals_the_eigenvector(spark):
+    g = np.random.default_rng(3)
+    base = g.normal(size=400)
+    x = np.stack([base + g.normal(size=400) * s for s in (0.3, 0.5, 1.0, 2.0)], axis=1)
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], "c0 double, c1 double, c2 double, c3 double")
+    mean, deviation, loading = rankfusion.principal_component(df, 4)
+    _, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    want = np.abs(vectors[:, -1])
+    assert loading == pytest.approx(want.tolist(), abs=1e-5) and mean == pytest.approx(x.mean(axis=0).tolist(), abs=1e-6)
+    opposed = spark.createDataFrame([tuple(map(float, (*row[:3], -row[0]))) for row in x], "c0 double, c1 double, c2 double, c3 double")
+    left = rankfusion.principal_component(opposed, 4)[2]
+    assert left[3] == 0 and all(v > 0.3 for v in left[:3])
+
+
 # Problem 7
 
 
