@@ -84,6 +84,25 @@ def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankfusion.order(rankfusion.fuse(table(spark, sf_dir, "ranked_chunks")))
 
 
+# The component by power iteration over the correlation matrix.
+SQL["p3_ranking"] = """
+WITH RECURSIVE latest AS (SELECT DISTINCT ON (query_id, channel, chunk_id) query_id, channel, chunk_id, CASE WHEN channel = 'l2' THEN -score ELSE score END AS s, coalesce(rank, min(rank) OVER (PARTITION BY query_id, channel, chunk_id)) AS rank
+  FROM ranked_chunks WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND channel IN ('dense', 'bm25', 'rerank', 'usage', 'l2') ORDER BY query_id, channel, chunk_id, score IS NULL, recorded_at DESC, score DESC, rank DESC),
+placed AS (SELECT *, count(*) OVER (PARTITION BY query_id, channel) AS n, CASE WHEN s IS NULL THEN CAST(rank AS DOUBLE)
+  ELSE rank() OVER (PARTITION BY query_id, channel ORDER BY s DESC NULLS LAST) + (count(*) OVER (PARTITION BY query_id, channel, s) - 1) / 2.0 END AS place FROM latest),
+valued AS (SELECT query_id, chunk_id, channel, least(1.0, greatest(0.0, coalesce((n - place + 1) / n, 0.0))) AS v FROM placed),
+wide AS (SELECT query_id, chunk_id, [coalesce(max(v) FILTER (channel = 'dense'), 0.0), coalesce(max(v) FILTER (channel = 'bm25'), 0.0), coalesce(max(v) FILTER (channel = 'rerank'), 0.0), coalesce(max(v) FILTER (channel = 'usage'), 0.0), coalesce(max(v) FILTER (channel = 'l2'), 0.0)] AS c FROM valued GROUP BY 1, 2),
+cells AS (SELECT i, j, corr(c[i], c[j]) AS r, stddev_pop(c[i]) AS d FROM wide, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 6)) AS j) GROUP BY 1, 2),
+matrix AS (SELECT list(row ORDER BY i) AS m, list(round(d, 9) ORDER BY i) AS d FROM (SELECT i, list(r ORDER BY j) AS row, max(d) AS d FROM cells GROUP BY 1)),
+power AS (SELECT 0 AS step, [1.0, 1.0, 1.0, 1.0, 1.0]::DOUBLE[] AS v UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM
+  (SELECT step, list_transform(m, lambda row: list_dot_product(row, v)) AS w FROM power, matrix WHERE step < 400)),
+loading AS (SELECT list_transform(v, lambda x: round(x, 6)) AS w, d FROM power, matrix WHERE step = 400),
+scored AS (SELECT query_id, chunk_id, c, round(c[1] * (w[1] / d[1]) + c[2] * (w[2] / d[2]) + c[3] * (w[3] / d[3]) + c[4] * (w[4] / d[4]) + c[5] * (w[5] / d[5]), 9) AS projection FROM wide, loading)
+SELECT query_id, chunk_id, projection, CAST(len(list_filter(c, lambda x: x > 0)) AS INT) AS channels, c[1] AS value_dense, c[2] AS value_bm25, c[3] AS value_rerank, c[4] AS value_usage, c[5] AS value_l2,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY projection DESC, chunk_id) AS INT) AS position FROM scored
+"""
+
+
 # Problem 6
 
 
