@@ -38,13 +38,24 @@ def plan(stock: dict[str, int], weights: dict[str, tuple[float, int]], total: in
     return {s: min(cap * stock[s], int(size * share / mass)) for s, (share, cap) in present.items()}
 
 
+def slots_for(blocks: int, share: float) -> int:
+    """Slots after which a source of this share has surely got ``blocks`` of them.
+
+    Of N golden-ratio points an interval of length w holds at least wN - 3 - (1 / ln g + 1 / ln 2) ln N, with g the golden ratio (the bound for
+    sequences whose partial quotients are all 1).
+    """
+    slots = int(blocks / share) + 1
+    while share * slots - 3 - 3.53 * np.log(slots) < blocks:
+        slots = max(slots + 1, int((blocks + 4 + 3.53 * np.log(slots)) / share))
+    return slots
+
+
 def schedule(spark, take: dict[str, int], block: int) -> DataFrame:  # noqa: ANN001
     """(source, k, slot): the slot of the k-th block of each source; distributed over ranges of slots."""
     names = sorted(take)
     total = sum(take.values())
     blocks = {s: -(-take[s] // block) for s in names}
-    slots = max((int(blocks[s] * total / take[s]) + 1 for s in names if take[s]), default=0)
-    slots += 64 + 4 * int(np.log2(slots + 2)) * len(names)
+    slots = max((slots_for(blocks[s], take[s] / total) for s in names if take[s]), default=0)
     edges = np.cumsum([take[s] / max(total, 1) for s in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +117,8 @@ def mixture(sized: DataFrame, weights: DataFrame, total: int | None = None, bloc
     copies = copies.withColumn("begin", F.col("start") + F.col("copy") * F.col("stock")).withColumn("k", F.expr(f"begin div {block}"))
     slots = schedule(spark, take, block)
     joined = copies.join(slots, ["which", "k"], "left")
-    return joined.select(F.coalesce("slot", F.lit(2**62) + F.col("k")).alias("slot"), (F.col("begin") % block).alias("place"), "doc_id", "source", F.col("copy").cast("int").alias("copy"), "tokens")
+    slot = F.coalesce("slot", F.raise_error(F.lit("a block without a slot")).cast("bigint"))
+    return joined.select(slot.alias("slot"), (F.col("begin") % block).alias("place"), "doc_id", "source", F.col("copy").cast("int").alias("copy"), "tokens")
 
 
 def report(mixed: DataFrame, weights: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Every segment (a document, or a piece of one that exceeds a container) is a vector of tokens, one segment and
 loss-bearing tokens. A container is filled with the fitting segment whose vector, scaled by the limits, has the
 largest dot product with the room left, until nothing fits. Segments are packed in shards of a few
-thousand; what lies in containers that stayed under ``GOOD`` is packed again across shards.
+thousand, one task per shard; what lies in containers that stayed under ``GOOD`` is packed again across shards.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ from strataforge.session import written
 SHARD = 4096
 GOOD = 0.97
 SEGMENTS = 32
+#: Share of a container's tokens that may bear loss, a little above the share that documents have on average.
+LOSS_SHARE = 31 / 32
+#: Tasks of a round; beyond as many shards a task packs several.
+TASKS = 10_000
 
 
 def prompt_end(text: str) -> int:
@@ -31,10 +35,10 @@ def prompt_end(text: str) -> int:
     return at + 2 if 0 < at < len(text) - 2 else 0
 
 
-def cut_to_fit(text: str, capacity: int, folder: str, file: str) -> list[tuple[int, int, int]]:
+def cut_to_fit(text: str, capacity: int, folder: str, file: str, ids: list[int] | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of pieces of at most ``capacity`` tokens each, joined without gap or overlap."""
     encoder = encoding(folder, file)
-    prefix = token_prefix(text, folder, file)
+    prefix = token_prefix(text, folder, file, ids)
     limit = capacity
     while True:
         spans = [(a, b, len(encoder.encode_ordinary(text[a:b]))) for a, b, _ in pieces(text, limit, 0, None, prefix)]
@@ -55,8 +59,8 @@ def segments(documents: DataFrame, capacity: int, ident: str = "doc_id", text: s
         for batch in batches:
             rows: list[tuple] = []
             for item, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, prompt = len(encoder.encode_ordinary(value)), prompt_end(value)
-                spans = [(0, len(value), n)] if n <= capacity else cut_to_fit(value, capacity, folder, file)
+                ids, prompt = encoder.encode_ordinary(value), prompt_end(value)
+                spans = [(0, len(value), len(ids))] if len(ids) <= capacity else cut_to_fit(value, capacity, folder, file, ids)
                 for k, (start, end, tokens) in enumerate(spans):
                     free = value[start : min(prompt, end)] if prompt > start else ""
                     rows.append((item, k, start, end, tokens, max(0, tokens - len(encoder.encode_ordinary(free)))))
@@ -106,30 +110,30 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def _round(items: DataFrame, limits: list[int], label: int, shard: int) -> DataFrame:
-    count = items.count()
-    shards = max(1, round(count / shard))
+    shards = max(1, round(items.count() / shard))
+    tasks = min(shards, TASKS)
     bounds = np.array(limits)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["item_id", "piece"], kind="stable").reset_index(drop=True)
-        sizes = np.stack([pdf.tokens.to_numpy(), np.ones(len(pdf), np.int64), pdf.loss.to_numpy()], axis=1)
-        number = pack(sizes, bounds)
-        pdf["container"] = [f"{label}-{key[0]}-{k}" for k in number]
-        pdf["filled"] = pdf.groupby("container").tokens.transform("sum")
-        return pdf.drop(columns="shard")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        for key, rows in pd.concat(frames).groupby("shard") if frames else ():
+            rows = rows.sort_values(["item_id", "piece"], kind="stable").drop(columns="shard")
+            number = pack(np.stack([rows.tokens.to_numpy(), np.ones(len(rows), np.int64), rows.loss.to_numpy()], axis=1), bounds)
+            rows["container"] = [f"{label}-{key}-{k}" for k in number]
+            rows["filled"] = rows.groupby("container").tokens.transform("sum")
+            yield rows
 
-    sharded = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)).cast("int"))
-    schema = "item_id bigint, piece int, start_offset int, end_offset int, tokens int, loss int, container string, filled bigint"
-    return sharded.groupBy("shard").applyInPandas(run, schema)
+    sharded = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)).cast("int")).repartitionById(tasks, (F.col("shard") % tasks).cast("int"))
+    return sharded.mapInPandas(run, "item_id bigint, piece int, start_offset int, end_offset int, tokens int, loss int, container string, filled bigint")
 
 
 def containers(documents: DataFrame, capacity: int, max_segments: int = SEGMENTS, max_loss: int | None = None, ident: str = "doc_id", text: str = "text", folder: str = FOLDER, file: str = FILE, shard: int = SHARD) -> DataFrame:
     """(container, item_id, piece, start_offset, end_offset, tokens, loss): every segment in one container.
 
-    No container exceeds ``capacity`` tokens, ``max_segments`` segments or ``max_loss`` loss-bearing tokens (default: the
-    capacity), save a single segment whose own loss exceeds ``max_loss``. A repeated row is packed each time it occurs.
+    No container exceeds ``capacity`` tokens, ``max_segments`` segments or ``max_loss`` loss-bearing tokens (default:
+    ``LOSS_SHARE`` of the capacity), save a single segment whose own loss exceeds ``max_loss``. A repeated row is packed each time it occurs.
     """
-    limits = [capacity, max_segments, max_loss or capacity]
+    limits = [capacity, max_segments, max_loss or int(capacity * LOSS_SHARE)]
     first = written(_round(written(segments(documents, capacity, ident, text, folder, file), "segments"), limits, 0, shard), "packed")
     done = first.where(F.col("filled") >= GOOD * capacity)
     again = first.where(F.col("filled") < GOOD * capacity).select("item_id", "piece", "start_offset", "end_offset", "tokens", "loss")

@@ -218,11 +218,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number and fill of the containers."""
+    """Number and fill of the containers, how near they come to each limit, and how few containers the sums would allow."""
     packed = packing.containers(spread(table(spark, sf_dir, "documents")), _capacity(spark, sf_dir))
-    filled = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"))
     capacity = _capacity(spark, sf_dir)
-    return filled.agg(F.count("*").alias("containers"), F.sum("segments").alias("segments"), F.max("tokens").alias("fullest"), F.round(F.avg("tokens") / capacity, 6).alias("mean_fill"))
+    filled = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss"))
+    limit = int(capacity * packing.LOSS_SHARE)
+    least = F.greatest(F.ceil(F.sum("tokens") / capacity), F.ceil(F.sum("segments") / packing.SEGMENTS), F.ceil(F.sum("loss") / limit))
+    held = [F.count("*"), F.sum("segments"), F.max("tokens"), F.max("segments"), F.sum(F.when((F.col("loss") > limit) & (F.col("segments") > 1), 1).otherwise(0)), F.sum(F.when(F.col("loss") > limit - 8, 1).otherwise(0))]
+    names = ["containers", "segments", "most_tokens", "most_segments", "over_loss", "full_of_loss"]
+    return filled.agg(*[c.cast("bigint").alias(n) for c, n in zip(held, names, strict=True)], least.cast("bigint").alias("least_possible"), F.round(F.avg("tokens") / capacity, 6).alias("mean_fill"))
 
 
 # Problem 9
@@ -242,6 +246,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mixture(mixing.sized_documents(spread(table(spark, sf_dir, "documents")), weights), weights), weights)
 
 
+@query
+def p9_shares_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a mixture of as many tokens as the listed sources hold: sources that their cap keeps short fall under their share."""
+    weights = table(spark, sf_dir, "source_weights")
+    sized = mixing.sized_documents(spread(table(spark, sf_dir, "documents")), weights)
+    total = sized.agg(F.sum("tokens")).first()[0] or 0
+    return mixing.report(mixing.mixture(sized, weights, total=total), weights)
+
+
 # Problem 5
 
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from strataforge.functions.tokenizer import FILE, FOLDER, encoding
 
 
-def token_ends(text: str, folder: str = FOLDER, file: str = FILE) -> list[int]:
-    """For each token the code-point offset at which it is complete."""
+def token_ends(text: str, folder: str = FOLDER, file: str = FILE, ids: list[int] | None = None) -> list[int]:
+    """For each token the code-point offset at which it is complete; ``ids`` are the text's tokens where they are known."""
     encoder = encoding(folder, file)
-    raw = b"".join(tokens := [encoder.decode_single_token_bytes(t) for t in encoder.encode_ordinary(text)])
+    raw = b"".join(tokens := [encoder.decode_single_token_bytes(t) for t in ids or encoder.encode_ordinary(text)])
     chars, at, ends = 0, 0, []
     for token in tokens:
         at += len(token)
@@ -24,10 +24,10 @@ def token_ends(text: str, folder: str = FOLDER, file: str = FILE) -> list[int]:
     return ends
 
 
-def token_prefix(text: str, folder: str = FOLDER, file: str = FILE) -> list[int]:
+def token_prefix(text: str, folder: str = FOLDER, file: str = FILE, ids: list[int] | None = None) -> list[int]:
     """Prefix sums: tokens begun in ``text[:i]`` for i in 0..len(text), not decreasing."""
     prefix, last = [0] * (len(text) + 1), 0
-    for k, end in enumerate(token_ends(text, folder, file), start=1):
+    for k, end in enumerate(token_ends(text, folder, file, ids), start=1):
         for i in range(last + 1, end + 1):
             prefix[i] = k
         last = max(last, end)
