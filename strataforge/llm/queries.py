@@ -332,6 +332,20 @@ def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir)
 
 
+@query
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are copies of a file of another listed repository, with its name."""
+    files = written(parsecheck.newest(keyed(table(spark, sf_dir, "code_files"), "file_id")), "files")
+    return handwritten.copies(files, written(handwritten.described(files), "described"), table(spark, sf_dir, "repositories"))
+
+
+@query
+def p2_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the forest says of repositories that it was not fitted on."""
+    files = written(parsecheck.newest(keyed(table(spark, sf_dir, "code_files"), "file_id")), "files")
+    return handwritten.held_out(files)
+
+
 @query
 def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code chunks whose file is not hand-written, by the document_id that names file and content."""
