@@ -15,18 +15,19 @@ LANGUAGES = tuple(syntax.CHECKERS)
 
 
 def newest(files: DataFrame) -> DataFrame:
-    """One row per file_id, the last delivery (the smaller content among equals); rows without id are left out.
+    """One row per file_id, the last delivery (of equal times the one with the larger content hash); rows without id are left out.
 
-    Only ids and times are shuffled beside the chosen rows.
+    Deliveries of one file meet once; where the table is already parted by file_id (as ``keyed`` does) nothing is shuffled again.
     """
-    key = F.struct(F.col("ingested_at"), F.xxhash64("content").alias("h"), F.col("repository"), F.col("language"), F.col("relative_path"), F.col("content"))
-    return files.where("file_id is not null").groupBy("file_id").agg(F.max(key).alias("f")).select("file_id", "f.repository", "f.language", "f.relative_path", "f.content")
+    order = F.struct(F.col("ingested_at"), F.xxhash64("content"))
+    chosen = F.max_by(F.struct("repository", "language", "relative_path", "content"), order).alias("f")
+    return files.where("file_id is not null").groupBy("file_id").agg(chosen).select("file_id", "f.repository", "f.language", "f.relative_path", "f.content")
 
 
 def verdicts(files: DataFrame) -> DataFrame:
     """(file_id, repository, language, relative_path, valid, errors array<struct<message, line, cause>>).
 
-    A null content or an unknown language has no verdict (valid is null); an empty file is valid.
+    A null content, an unknown language and a text that nests deeper than the parsers can follow have no verdict (valid is null); an empty file is valid.
     """
     types = pa.list_(pa.struct([("message", pa.string()), ("line", pa.int32()), ("cause", pa.string())]))
 
@@ -38,7 +39,12 @@ def verdicts(files: DataFrame) -> DataFrame:
                     valid.append(None)
                     errors.append([])
                     continue
-                found = syntax.check(language, content)
+                try:
+                    found = syntax.check(language, content)
+                except syntax.TooDeep:
+                    valid.append(None)
+                    errors.append([{"message": "nesting too deep for a verdict", "line": 1, "cause": "nesting"}])
+                    continue
                 valid.append(not found)
                 errors.append([{"message": p.message, "line": p.line, "cause": p.cause} for p in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(valid, pa.bool_()), pa.array(errors, types)], ["file_id", "repository", "language", "relative_path", "valid", "errors"])

@@ -23,16 +23,24 @@ CHECKERS: dict[str, Callable[[str], list[Problem]]] = {
 }
 
 
+#: Python frames that one text may need; about half a gigabyte of a worker's memory.
+FRAMES = 1_500_000
+
+
+class TooDeep(Exception):
+    """The text nests deeper than ``FRAMES`` allow, so nothing is said of it."""
+
+
 def check(language: str, text: str) -> list[Problem]:
-    """All errors of a text, in order; none for a valid one. Raises KeyError for an unknown language.
+    """All errors of a text, in order; none for a valid one. Raises KeyError for an unknown language and ``TooDeep`` for a text without verdict.
 
-    Nesting beyond Python's recursion is reported as an error of its own rather than raised.
+    The recursion limit follows the text's length, which bounds its nesting, up to ``FRAMES``.
     """
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 12000))
+    sys.setrecursionlimit(max(limit, min(FRAMES, 12000 + 30 * len(text))))
     try:
         return CHECKERS[language](text)
-    except RecursionError:
-        return [Problem("nesting too deep", 1, "nesting")]
+    except (RecursionError, MemoryError) as error:
+        raise TooDeep(language) from error
     finally:
         sys.setrecursionlimit(limit)
