@@ -122,3 +122,31 @@ def test_dense_in_blocks_equals_one_block(spark, rows, monkeypatch):
     want = rows(dense.search(vectors, queries, 4))
     monkeypatch.setattr(dense, "BLOCK", 3)
     assert rows(dense.search(vectors, queries, 4)) == want and len(want) == 28
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_all_pairs_are_not_shuffled_and_equal_the_formula_in_any_blocks(spark, rows, monkeypatch):
+    texts = {"a": "the red fox", "b": "the dog", "c": "blue refreshToken", "d": "zebra", "e": ""}
+    index = lexical.build_index(corpus(spark, [*texts.items(), ("a", "the red fox"), (None, "the")]))
+    asked = {1: "the fox", 2: "The REFRESH of the token", 3: "the", 4: "dog or zebra", 5: "unknown", 6: None, 7: "blue fox"}
+    queries = spark.createDataFrame([*asked.items(), (None, "the")], "query_id bigint, question string")
+    held = {c: set(t.lower().split()) | ({"refresh", "token"} if c == "c" else set()) for c, t in texts.items()}
+    average, want = sum(map(len, held.values())) / 5, []
+    for q, text in asked.items():
+        idf = {t: math.log(6 / n) for t in set((text or "").lower().split()) if (n := sum(t in h for h in held.values()))}
+        for c, h in held.items():
+            if shared := h & idf.keys():
+                part = sum(idf[t] for t in shared) * 2.5 / (1.5 * (0.25 + 0.75 * len(h) / average) + 1)
+                want.append((q, c, pytest.approx(part + sum(idf.values()), abs=2e-9)))
+    whole = lexical.scores(index, queries)
+    assert "Exchange" not in plan(whole)
+    assert dict(whole.dtypes) == {"query_id": "bigint", "chunk_id": "string", "score": "double"}
+    assert rows(whole) == want and len(want) == 11
+    monkeypatch.setattr(lexical, "PAIR_BLOCK", 2)
+    monkeypatch.setattr(lexical, "CELLS", 3)
+    assert rows(lexical.scores(index, queries)) == want
+    assert lexical.scores(index, queries.where("query_id = 5")).count() == 0
+    assert all(r["score"] == round(r["score"], 2) for r in lexical.scores(index, queries, digits=2).collect())
