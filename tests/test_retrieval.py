@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.operators import dense, evaluation, fusion, lexical, pipeline
+from strataforge.plans import catalogue
 
 CHUNK = "chunk_id string, content string, source_type string"
 LIST = "query_id string, channel string, chunk_id string, score double, rank int"
@@ -150,3 +151,20 @@ def test_scores_of_all_pairs_are_not_shuffled_and_equal_the_formula_in_any_block
     assert rows(lexical.scores(index, queries)) == want
     assert lexical.scores(index, queries.where("query_id = 5")).count() == 0
     assert all(r["score"] == round(r["score"], 2) for r in lexical.scores(index, queries, digits=2).collect())
+
+
+def test_candidates_are_counted_without_making_the_pairs(spark, rows, monkeypatch, tmp_path):
+    texts = [("a", "the red fox"), ("a", "the red fox"), ("b", "the dog"), ("c", "blue refreshToken"), ("d", "zebra"), (None, "the")]
+    questions = ask(spark, "the fox", "the refresh token", "the", "unknown", None, "blue fox")
+    corpus(spark, texts).write.parquet(f"{tmp_path}/chunks.parquet")
+    questions.write.parquet(f"{tmp_path}/questions.parquet")
+    got = catalogue.QUERIES["lexical_candidates"](spark, str(tmp_path))
+    assert "query_id" not in plan(got)
+    assert rows(got, "candidates", "pairs") == [(3, 9)]
+    index = lexical.build_index(corpus(spark, texts))
+    assert "Exchange" not in plan(lexical.matches(index, questions))
+    assert rows(lexical.matches(index, questions)) == [("a", 4), ("b", 3), ("c", 2)]
+    monkeypatch.setattr(lexical, "COUNT_BLOCK", 2)
+    assert rows(lexical.matches(index, questions).groupBy("chunk_id").agg(F.sum("queries"))) == [("a", 4), ("b", 3), ("c", 2)]
+    questions.where("query_id = 'q3'").write.mode("overwrite").parquet(f"{tmp_path}/questions.parquet")
+    assert rows(catalogue.QUERIES["lexical_candidates"](spark, str(tmp_path)), "candidates", "pairs") == [(0, 0)]
